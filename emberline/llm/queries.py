@@ -5,8 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, quality, url_filter
-from ._common import materialise, read
+from . import bpe, chat, line_dedup, mixing, quality, topk, url_filter, warc
+from ._common import materialise, new_path, read
+
+#: Target weights of the production mix; sources without one weigh 1.
+MIX = mixing.MixParams(weights={"src0": 4.0, "src1": 2.0, "src2": 2.0, "src3": 0.5})
+
+
+def bpe_params() -> bpe.BpeParams:
+    import public_tokenizers
+
+    return bpe.BpeParams(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.positions(docs, MIX).select("doc_id", "source", *mixing.ADDED)
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_warc(read(spark, sf_dir, "pages"), path)
+    return warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    params = topk.TopKParams()
+    vectors = topk.quantise(read(spark, sf_dir, "embeddings"), params)
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), params)
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(read(spark, sf_dir, "documents").select("doc_id", "text"), bpe_params())
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +83,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op2_warc": op2_warc,
+    "op3_topk_search": op3_topk_search,
+    "op5_byte_bpe": op5_byte_bpe,
     "op6_line_dedup": op6_line_dedup,
     "op7_url_filter": op7_url_filter,
     "op9_chat_format": op9_chat_format,
@@ -60,6 +94,20 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_warc": r"""
+with p as (select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as payload_digest
+  from pages), k as (select *, max(page_id) over (partition by payload_digest) as keeper from p)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 1000 and page_id < keeper then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and page_id < keeper then keeper end as refers_to from k""",
+    "op3_topk_search": r"""
+with v as (select distinct vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as q from embeddings
+  where embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+s as (select a.vec_id as query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::bigint as score
+  from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id)
+select query_id, rank::int as rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 20""",
     "op6_line_dedup": r"""
 with docs as (select doc_id, text, md5(text) as td, string_split(text, chr(10)) as lines from documents),
 lines as (select doc_id, td, i, lines[i] as line, md5(lines[i]) as h, len(lines) as n from (
