@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, line_dedup, mixing, quality, topk, url_filter, warc
+from . import bpe, chat, line_dedup, mixing, quality, suffix_dedup, topk, url_filter, warc
 from ._common import materialise, new_path, read
 
 #: Target weights of the production mix; sources without one weigh 1.
@@ -35,6 +35,11 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), params)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read(spark, sf_dir, "documents").select("doc_id", "text"), bpe_params())
 
@@ -86,6 +91,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_warc": op2_warc,
     "op3_topk_search": op3_topk_search,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_line_dedup": op6_line_dedup,
     "op7_url_filter": op7_url_filter,
