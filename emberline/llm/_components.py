@@ -44,4 +44,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    roots = now.select(F.col("v").alias("node")).distinct()
+    return stars.unionByName(roots.withColumn("component", F.col("node")))

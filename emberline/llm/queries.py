@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, line_dedup, mixing, quality, suffix_dedup, topk, url_filter, warc
+from . import bpe, chat, jaccard, line_dedup, mixing, quality, suffix_dedup, topk, url_filter, warc
 from ._common import materialise, new_path, read
 
 #: Target weights of the production mix; sources without one weigh 1.
@@ -59,6 +59,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.sql(
         r"""select * from values (-7L, 0L, 'user', r'\### Assistant: </turn> ok'),
@@ -95,6 +99,7 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_line_dedup": op6_line_dedup,
     "op7_url_filter": op7_url_filter,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_chat_format": op9_chat_format,
     "op10_quality_rules": op10_quality_rules,
 }
