@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._common import materialise
+from ._common import materialise, unzipped, zipped
 
 #: Fixed values of the format.
 MAGIC = "WARC/1.1\r\n"
@@ -63,7 +63,10 @@ def write_warc(pages: DataFrame, path: str, params: WarcParams = WarcParams()) -
     keeper = keeper.where("least < keeper").select("digest", "keeper")
     revisits = copies.join(keeper, "digest").where("page_id < keeper").distinct()
     revisits = revisits.select(F.col("page_id").alias("__id"), F.col("digest").alias("__digest"), "keeper")
+    # the html crosses the shuffle compressed
+    keyed = zipped(keyed, "html")
     rows = keyed.join(revisits, (keyed["page_id"] == revisits["__id"]) & (keyed["digest"] == revisits["__digest"]), "left")
+    rows = unzipped(rows.drop("__id", "__digest"), "html")
     again = F.col("keeper").isNotNull()
     name = lambda i: F.concat(F.lit("<urn:page:"), i.cast("string"), F.lit(">"))
     record = F.concat(
