@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.aggregates import co_occurrence
+
 
 def utc(column: str):
     return F.col(column).cast("timestamp")
@@ -86,7 +88,7 @@ class Views:
             F.col("l_partkey").alias("type_id"),
             F.col("l_suppkey").alias("location_id"),
             (F.col("l_returnflag") == "R").alias("is_buy"),
-            F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).cast("decimal(20,2)").alias("price"),
+            (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100 + 0.5).cast("decimal(20,2)") / 100).cast("decimal(20,2)").alias("price"),
             F.col("l_quantity").cast("long").alias("remain"),
             utc("l_shipdate").alias("observed_at"),
         )
@@ -107,6 +109,13 @@ class Views:
             F.get_json_object("props", "$.k").cast("long").alias("system_id"),
         )
 
+    @cached_property
+    def links(self) -> DataFrame:
+        """Undirected edges (a, b, w), a < b: actors and how many events they share; pairs with fewer than two are left out."""
+        pairs = self.actors.select("event_id", "actor_id").distinct()
+        both = co_occurrence(pairs, "event_id", "actor_id")
+        return both.groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("w")).where("w >= 2")
+
 
 #: The same views for the SQL twins.
 SQL_VIEWS = """
@@ -120,10 +129,14 @@ vic as (select c_custkey as victim_id, c_nationkey as alliance_id, n_regionkey a
 typ as (select p_partkey as type_id, p_name as type_name, p_brand as type_group, p_type as category, p_size as size,
   p_retailprice::decimal(20,2) as base_price from part),
 mkt as (select l_orderkey as order_id, l_partkey as type_id, l_suppkey as location_id, l_returnflag = 'R' as is_buy,
-  round(l_extendedprice / l_quantity, 2)::decimal(20,2) as price, l_quantity::bigint as remain, l_shipdate as observed_at from lineitem),
-lg as (select event_id, ts as at, user_id as actor_id, case event_type when 'purchase' then 'combat' when 'view' then 'fleet_message'
+  (floor(l_extendedprice / l_quantity * 100 + 0.5)::decimal(20,2) / 100)::decimal(20,2) as price, l_quantity::bigint as remain, l_shipdate as observed_at from lineitem),
+lg as (select event_id, ts as seen, user_id as actor_id, case event_type when 'purchase' then 'combat' when 'view' then 'fleet_message'
   when 'click' then 'intel_report' when 'signup' then 'notify' when 'error' then 'unknown' end as kind, value,
-  (props->>'$.k')::bigint as system_id from events)"""
+  (props->>'$.k')::bigint as system_id from events),
+gang as (select event_id, actor_id, killed_at as seen, count(*) over (partition by event_id) as gang_size
+  from (select distinct event_id, actor_id from att) join ev using (event_id)),
+links as (select x.actor_id as a, y.actor_id as b, count(*)::double as w from gang x join gang y using (event_id)
+  where x.actor_id < y.actor_id group by all having count(*) >= 2)"""
 
 
 def sql(body: str) -> str:
