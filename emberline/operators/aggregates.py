@@ -83,12 +83,12 @@ def strict_percentile(df: DataFrame, value: str, by: Sequence[str] = (), into: s
 def daily_book(orders: DataFrame) -> DataFrame:
     """Daily rollup of order-book rows per day, location, type and side: best is the highest bid or the lowest offer."""
     notional, volume = F.sum(F.col("price") * F.col("remain")), F.sum("remain")
-    vwap = F.coalesce(notional / F.nullif(volume, F.lit(0)), F.avg("price"))
+    vwap = F.coalesce(notional.cast("double") / F.nullif(volume, F.lit(0)).cast("double"), F.avg("price").cast("double"))
     return orders.groupBy(F.to_date("observed_at").alias("day"), "location_id", "type_id", "is_buy").agg(
         F.min("price").alias("low"),
         F.max("price").alias("high"),
         F.round(F.avg("price").cast("double"), 4).alias("mean"),
-        F.round(vwap.cast("double"), 4).alias("vwap"),
+        vwap.alias("vwap"),
         F.when(F.col("is_buy"), F.max("price")).otherwise(F.min("price")).alias("best"),
         F.count(F.lit(1)).alias("n"),
         F.countDistinct("order_id").alias("orders"),

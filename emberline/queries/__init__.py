@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLE_SQL, QUERIES
 
-MODULES = ("broker", "core")
+MODULES = ("broker", "core", "temporal", "market")
 
 
 def load():
