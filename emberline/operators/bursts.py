@@ -28,8 +28,8 @@ def fold(times: list[int], who: list[object], state: tuple, window: int, least:
 def bursts(df: DataFrame, key: str, at: str, who: str, window_seconds: int, least: int, speakers: int, cooldown_seconds: int) -> DataFrame:
     """(key, fired_at, n, speakers): alarms of at least `least` rows by `speakers` actors within the window, apart by the cooldown.
 
-    Rows that can't be in a dense enough window are dropped in the JVM first, and runs that no window bridges go to separate
-    tasks only where the cooldown can't link them either, so a busy key doesn't become one group. Null keys form one key.
+    Rows that can't be in a dense enough window are dropped in the JVM first, and a key is split where neither a window nor the
+    cooldown can link two runs. A key that never pauses stays one group. Null keys form one key.
     """
     s = df.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.unix_timestamp(at).alias("t"), F.col(who).cast("string").alias("a"))
     by = W.partitionBy("key").orderBy("t")
