@@ -12,7 +12,7 @@ Every byte covered by a `window`-byte string that also starts in a document with
    and compares neighbours: equal suffixes of a larger document are covered whole; where suffixes share the gram and
    differ further on, their windows are compared one by one.
 4. Across boundaries. The first and last gram of every partition may go on next door: their least occurrences of each
-   suffix meet once more, by window, in a grouped minimum.
+   suffix meet once more, by window, in a grouped minimum; windows already covered stay behind.
 5. The covered intervals travel to their documents, which are cut.
 
 Documents with equal texts need no search: all but the one with the smallest id are covered whole.
@@ -49,6 +49,10 @@ class SuffixParams:
     bucket_rows: int = 250_000
     partition_rows: int = 150_000
 
+    def __post_init__(self) -> None:
+        if self.gram % 8 or not 0 <= self.window - self.gram <= 60:
+            raise ValueError("the gram is a multiple of 8 bytes, and the window at most 60 bytes longer")
+
 
 # ---------------------------------------------------------------- screening
 
@@ -261,9 +265,8 @@ def _compare(params: SuffixParams):
         kinds = np.bincount(of_gram[new_suffix])
         edge = (of_gram == 0) | (of_gram == of_gram[-1])
         rest = ~covered & ((kinds[of_gram] > 1) | edge)
-        if edge.any():
-            far = rest & edge
-            yield {"doc_id": doc[far], "tag": tag[far], "key": [keys[i] for i in order[far].tolist()], "meta": meta[far]}
+        # bit w: window w of the suffix is still to be compared next door
+        open_ = (np.int64(1) << (left + right - params.window + 1)) - 1
         here = np.flatnonzero(rest & (kinds[of_gram] > 1))
         # whole grams at a time, about a quarter of a million windows each
         done = 0
@@ -283,8 +286,12 @@ def _compare(params: SuffixParams):
             new = np.concatenate([[True], (keyed[1:] != keyed[:-1]).any(1)])
             hit = d > d[np.flatnonzero(new)][np.cumsum(new) - 1]
             m, p = mine[row[hit]], place[hit]
+            np.bitwise_and.at(open_, m, ~(np.int64(1) << p))
             begin = pos[m] - left[m] + p
             yield {"doc_id": doc[m], "tag": tag[m], "start": begin, "end": begin + params.window}
+        far = rest & edge & (open_ != 0)
+        if far.any():
+            yield {"doc_id": doc[far], "tag": tag[far], "key": [keys[i] for i in order[far].tolist()], "meta": meta[far], "open": open_[far]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = list(batches)
@@ -293,7 +300,7 @@ def _compare(params: SuffixParams):
             return
         doc = np.concatenate([b.column("doc_id").to_numpy() for b in parts])
         meta = np.concatenate([b.column("meta").to_numpy() for b in parts])
-        schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("key", pa.binary()), ("meta", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("key", pa.binary()), ("meta", pa.int64()), ("open", pa.int64())])
         for out in partition(keys, doc, meta):
             n = len(out["doc_id"])
             columns = [pa.array(out[f.name], f.type) if f.name in out else pa.nulls(n, f.type) for f in schema]
@@ -305,7 +312,7 @@ def _compare(params: SuffixParams):
 
 
 def _explode_windows(params: SuffixParams):
-    """mapInArrow: suffixes next to a boundary to their windows."""
+    """mapInArrow: suffixes next to a boundary to those of their windows that no smaller document of the partition covers."""
     width = (2 * params.window - params.gram + 7) // 8 * 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,6 +323,8 @@ def _explode_windows(params: SuffixParams):
                 tag, right, left, pos = _parts(meta)
                 raw = _matrix(b.column("key").to_pylist(), width)
                 row, place, bytes_ = _window_rows(_contexts(raw, right, left), right, left, params.window)
+                still = np.flatnonzero((b.column("open").to_numpy()[row] >> place) & 1)
+                row, place, bytes_ = row[still], place[still], bytes_[still]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "bytes": [x[: params.window].tobytes() for x in bytes_],
@@ -414,11 +423,11 @@ def suffix_dedup(docs: DataFrame, params: SuffixParams = SuffixParams(), keep_te
     parts = max(12, -(-suffixes.count() // params.partition_rows))
     compared = materialise(
         suffixes.repartitionByRange(parts, "key", "doc_id").mapInArrow(
-            _compare(params), "doc_id long, tag long, start long, end long, key binary, meta long"
+            _compare(params), "doc_id long, tag long, start long, end long, key binary, meta long, open long"
         ),
         "suffix-compared",
     )
-    windows = compared.where("key is not null").select("doc_id", "key", "meta").mapInArrow(
+    windows = compared.where("key is not null").select("doc_id", "key", "meta", "open").mapInArrow(
         _explode_windows(params), "bytes binary, offset long, doc_id long, tag long, start long"
     )
     least = windows.groupBy("bytes", "offset").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
