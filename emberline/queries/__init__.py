@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLE_SQL, QUERIES
 
-MODULES = ("broker", "core", "temporal", "market")
+MODULES = ("broker", "core", "temporal", "market", "signals")
 
 
 def load():
