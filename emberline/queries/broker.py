@@ -125,11 +125,11 @@ walk as (select h as id, h as hub, 0 as jumps from (values (5::bigint), (17), (6
 select id, hub, jumps from (select *, row_number() over (partition by id order by jumps, hub) as rn from walk) where rn = 1""")
 def nearest_hubs(v: Views) -> DataFrame:
     hubs = v.spark.createDataFrame([(5,), (17,), (60,)], "id long")
-    return catchments(v.links.where("(a + b) % 7 = 0"), hubs)
+    return catchments(v.links, hubs)
 
 
 @query("g17_depths", """arcs as (select a, b from links where (a + b) % 7 = 0 union select b, a from links where (a + b) % 7 = 0),
 walk as (select h as id, 0 as hops from (values (5::bigint), (17)) t(h) union select arcs.b, hops + 1 from walk join arcs on arcs.a = walk.id where hops < 8)
 select id, min(hops) as hops from walk group by id""")
 def depths(v: Views) -> DataFrame:
-    return hops(v.links.where("(a + b) % 7 = 0"), [5, 17], 8)
+    return hops(v.links, [5, 17], 8)

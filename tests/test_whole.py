@@ -24,3 +24,29 @@ def test_asof_price_answers_for_every_type(spark):
     got = [(r.event_id, r.type_id, r.slot, r.actor_id, r.price) for r in QUERIES["j12_asof_price"](spark, SF).collect()]
     assert len({f.type_id % 4 for f in facts}) == 4 and any(w[4] is not None for w in want if w[1] % 4)
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def nearest(edges, hubs):
+    """Plain breadth-first search: node -> (hub, jumps), ties to the smaller hub."""
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    seen, front, step = {h: (h, 0) for h in hubs}, sorted(hubs), 0
+    while front:
+        step, new = step + 1, {}
+        for x in front:
+            for y in near[x] - seen.keys():
+                new[y] = min(new.get(y, seen[x][0]), seen[x][0])
+        seen |= {y: (hub, step) for y, hub in new.items()}
+        front = sorted(new)
+    return seen
+
+
+def test_catchments_and_depths_walk_every_link(spark):
+    edges = [(r.a, r.b) for r in Views(spark, SF).links.collect()]
+    assert len({(a + b) % 7 for a, b in edges}) == 7
+    want = nearest(edges, [5, 17, 60])
+    assert sorted(map(tuple, QUERIES["g15_catchments"](spark, SF).select("id", "hub", "jumps").collect())) == sorted((i, h, j) for i, (h, j) in want.items())
+    want = nearest(edges, [5, 17])
+    assert sorted(map(tuple, QUERIES["g17_depths"](spark, SF).select("id", "hops").collect())) == sorted((i, j) for i, (_, j) in want.items() if j <= 8)
