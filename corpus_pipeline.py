@@ -1,7 +1,8 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
 
 Quality rules drop documents, line dedup rewrites texts, the Jaccard join keeps one document of each near-duplicate
-component, mixing orders the rows (and the written files) by the target weights, and byte-level BPE encodes them.
+component, mixing orders the rows (and the written files) by the target weights, and byte-level BPE encodes them. The
+encoded rows carry their place in the mix, as a reader of Parquet files need not keep the order they were written in.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from emberline.llm import bpe, jaccard, line_dedup, mixing, quality
 from emberline.llm._common import materialise, new_path, read, sweep
 from emberline.llm.queries import MIX, bpe_params
 
+#: Rows in this order are the mix.
+PLACE = ("cycle", "slot", "offset")
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = docs.select(F.struct(*docs.columns).alias("__row"), "text", "lang", "source")
@@ -37,7 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), bpe_params())
+    mixed = mixing.mix(docs, MIX).select("doc_id", "lang", "source", "text", *PLACE)
+    return bpe.encode_decode(mixed, bpe_params(), keep_ids=True).drop("decoded")
 
 
 STAGES = [
@@ -52,7 +57,8 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The finished corpus, as written: every document's keys, place in the mix, digests and token_ids."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_path(spark, f"stage-{name}", keep=True)
@@ -60,3 +66,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = spark.read.parquet(path)
         sweep(spark)
     return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus in the order of the mix, without places and token ids."""
+    return corpus(spark, sf_dir).orderBy(*PLACE).drop(*PLACE, "token_ids")
