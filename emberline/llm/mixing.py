@@ -11,7 +11,7 @@ cycle's group holds as many rows as the weights add up to, whatever the table's
 a source that holds a third of all rows is numbered in buckets.
 
 Defined cases: null source is a source; sources without a weight get `default_weight`; rows that repeat a doc_id within
-their source share the place of the first; null doc_id is one such id; an empty table gives an empty result; the last
+their source have a place each (mix() gives them that of the first); null doc_id is one such id; an empty table gives an empty result; the last
 block of a source may be short; columns named like the added ones are replaced, all others pass through.
 """
 
@@ -88,9 +88,9 @@ def _schedule_cycle(blocks: pd.DataFrame) -> pd.DataFrame:
 
 
 def positions(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
-    """(source, doc_id, cycle, slot, source_block, release, deadline, offset): the place of every distinct key.
+    """(source, doc_id, copy, cycle, slot, source_block, release, deadline, offset): the place of every row.
 
-    Rows ordered by (cycle, slot, offset) are the mix.
+    Rows that repeat a key are its copies, numbered from 0. Rows ordered by (cycle, slot, offset) are the mix.
     """
     keys = docs.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
     total = docs.count()
@@ -105,12 +105,14 @@ def positions(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     inside = W.partitionBy("sid", "bucket").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     placed = keys.withColumn("in_bucket", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
     placed = placed.join(sizes.select("sid", "bucket", "base"), ["sid", "bucket"])
-    index = F.col("base") + F.col("in_bucket")
+    placed = placed.withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)")))
+    index = F.col("base") + F.col("in_bucket") + F.col("copy")
     placed = placed.select(
         "sid",
         "source",
         "doc_id",
-        F.expr(f"(base + in_bucket) div {params.block_rows}").alias("source_block"),
+        "copy",
+        F.expr(f"(base + in_bucket + copy) div {params.block_rows}").alias("source_block"),
         F.pmod(index, F.lit(params.block_rows)).alias("offset"),
     )
     scale = params.blocks_per_weight
@@ -132,12 +134,12 @@ def positions(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
             _schedule_cycle, "sid string, cycle long, source_block long, slot long, release long, deadline long"
         )
     )
-    return placed.join(schedule, ["sid", "source_block"]).select("source", "doc_id", *ADDED)
+    return placed.join(schedule, ["sid", "source_block"]).select("source", "doc_id", "copy", *ADDED)
 
 
 def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """The rows of docs in mixed order, with the columns of ADDED."""
-    place = positions(docs, params)
+    place = positions(docs, params).where("copy = 0")
     place = place.select(F.col("source").alias("__s"), F.col("doc_id").alias("__d"), *[F.col(c).alias(f"__{c}") for c in ADDED])
     out = docs.join(place, docs["source"].eqNullSafe(place["__s"]) & docs["doc_id"].eqNullSafe(place["__d"]))
     order = ["__cycle", "__slot", "__offset"]
