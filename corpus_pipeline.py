@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.llm import bpe, jaccard, line_dedup, mixing, quality
-from emberline.llm._common import materialise, new_path, read, sweep
+from emberline.llm._common import new_path, read, sweep
 from emberline.llm.queries import MIX, bpe_params
 
 #: Rows in this order are the mix.
@@ -20,9 +20,8 @@ PLACE = ("cycle", "slot", "offset")
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = docs.select(F.struct(*docs.columns).alias("__row"), "text", "lang", "source")
-    measured = quality.measure(row).drop("text")
-    fences = materialise(quality.thresholds(quality.sketch(measured)), "fences")
-    return quality.judge(measured, fences).where("kept").select("__row.*")
+    measured = quality.measured_table(row)
+    return quality.judge(measured, quality.thresholds(quality.sketch(measured))).where("kept").select("__row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._common import SPACE, WORD
+from ._common import SPACE, WORD, materialise
 
 
 @dataclass(frozen=True)
@@ -97,13 +97,18 @@ def measure(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFra
     return out.drop("__w", "__h", "__s", "__p", "__l", "__n_lines")
 
 
+def measured_table(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
+    """measure(docs) without the text, written once: the sketch and the judgement both read it."""
+    return materialise(measure(docs, params).drop("text"), "quality")
+
+
 def sketch(measured: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
     """(lang, source, metric, bucket, n): the groups' histograms; those of two tables merge by adding n."""
     names = [m for m, _ in params.slack]
-    stacked = ", ".join(f"'{m}', {m}" for m in names)
-    rows = measured.where(~F.col("base_failed")).select(
-        "lang", "source", F.expr(f"stack({len(names)}, {stacked}) as (metric, v)")
-    )
+    # the test sits behind a generator: as a plain filter the optimizer would push it below measure's projections and
+    # put whole arrays in the place of their names
+    stacked = ", ".join(f"'{m}', if(base_failed, null, {m})" for m in names)
+    rows = measured.select("lang", "source", F.expr(f"stack({len(names)}, {stacked}) as (metric, v)")).where("v is not null")
     # values under 64 have a bucket each; above, the six leading bits name the bucket
     shift = "greatest(length(bin(v)) - 6, 0)"
     return (

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, jaccard, line_dedup, mixing, quality, suffix_dedup, topk, url_filter, warc
-from ._common import materialise, new_path, read
+from ._common import new_path, read
 
 #: Target weights of the production mix; sources without one weigh 1.
 MIX = mixing.MixParams(weights={"src0": 4.0, "src1": 2.0, "src2": 2.0, "src3": 0.5})
@@ -84,7 +84,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    measured = materialise(quality.measure(docs).drop("text"), "quality")
+    measured = quality.measured_table(docs)
     fences = quality.thresholds(quality.sketch(measured))
     return quality.judge(measured, fences).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
