@@ -24,13 +24,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is absent (a single-machine session, as in tests) a temporary folder is taken.
+    Only where the setting is absent and the master is local (as in tests) a temporary folder is taken.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="emberline-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -62,6 +64,25 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def salted_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", total: int | None = None) -> DataFrame:
+    """many joined to one (few rows a key) on `key`, with no key in one task whatever its share of many's rows.
+
+    A key is hot if it has at least one in 100 000 rows, and 1000 at least: so there are at most 100 000 hot keys, which
+    are broadcast. The rows of a hot key are dealt over salts, and its row of `one` is copied to each of them. many is
+    read three times and had better be a written table. Null keys match nothing.
+    """
+    total = many.count() if total is None else total
+    least = max(1000, total // 100_000)
+    hot = many.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least)
+    hot = F.broadcast(hot.select("__key", F.expr(f"(__n + {least - 1}) div {least}").alias("__salts")))
+    left = many.join(hot, many[key] == hot["__key"], "left")
+    dealt = F.pmod(F.xxhash64(*many.columns), F.col("__salts"))
+    left = left.withColumn("__salt", F.coalesce(dealt, F.lit(0)).cast("long")).drop("__key", "__salts")
+    right = one.join(hot, one[key] == hot["__key"], "left")
+    right = right.withColumn("__salt", F.explode(F.expr("sequence(0L, coalesce(__salts, 1L) - 1L)"))).drop("__key", "__salts")
+    return left.join(right, [key, "__salt"], how).drop("__salt")
+
+
 def zipped(df: DataFrame, column: str) -> DataFrame:
     """df with a text column as zstd-compressed bytes, in which texts take half the room in a shuffle; null stays."""
     return _recoded(df, column, T.BinaryType(), zip_=True)

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from emberline.llm import jaccard
@@ -60,8 +61,9 @@ def corpus(seed):
 
 VARIANTS = [
     jaccard.JaccardParams(),
-    jaccard.JaccardParams(heavy_least=3, frequent=40, frequent_least=3, short_list=4, chunk_rows=8),
-    jaccard.JaccardParams(heavy_least=3, short_list=1, broadcast_ids=0),
+    jaccard.JaccardParams(heavy_least=3, frequent=40, frequent_least=3, short_list=4, list_rows=10),
+    jaccard.JaccardParams(heavy_least=3, short_list=1, broadcast_ids=0, block_rows=8, orders=1, steps=2),
+    jaccard.JaccardParams(heavy_least=3, short_list=2, block_rows=16, orders=0, steps=1),
 ]
 
 
@@ -79,8 +81,47 @@ def test_one_of_each_component_stays(spark):
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
     comps = {d: c for d, _, c in brute(rows) if d is not None}
-    got = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
-    assert got == sorted({c for c in comps.values()})
+    got = [(r.doc_id, r.text) for r in kept.collect() if r.doc_id is not None]
+    # an id that repeats with another text is one document, of which each text stays once
+    assert len(got) == len(set(got)) and {d for d, _ in got} == set(comps.values())
+    assert set(got) == {(d, t) for d, t, _ in rows if d is not None and comps[d] == d}
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, rng.integers(1, 900))) for _ in range(60)]
+    told = jaccard._Parities([jaccard._parity(s) for s in sets])
+    i, j = np.triu_indices(len(sets), 1)
+    real = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    assert (told.differ(i, j) <= real).all() and (told.differ(i, j) > 0).any()
+
+
+def test_a_long_passage_in_documents_that_differ(spark):
+    rng = random.Random(8)
+    fresh = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+    passage = fresh(300)
+    rows = [(i, " ".join(fresh(rng.randrange(20, 45)) + passage + fresh(rng.randrange(20, 45)))) for i in range(150)]
+    rows += [(1000 + i, " ".join(fresh(3) + passage + fresh(rng.randrange(30)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    params = jaccard.JaccardParams(heavy_least=3, frequent=1000, frequent_least=1000)
+    for p in (params, jaccard.JaccardParams(heavy_least=3, frequent=10, frequent_least=5, list_rows=40, block_rows=20)):
+        assert sorted((tuple(r) for r in jaccard.jaccard_components(docs, p).collect()), key=str) == brute(rows)
+
+
+def test_very_long_text(spark):
+    rng = random.Random(9)
+    words = [str(rng.randrange(10**6)) for _ in range(60_000)]
+    other = [w if i % 50 else "x" for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:100]))]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
+
+
+def test_rows_that_repeat_an_id(spark):
+    rows = [(1, "a b c d e f g", "x"), (1, "quite another text stands here now", "y"), (2, "a b c d e f g", "z"), (1, "a b c d e f g", "x")]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, __n string"))
+    assert sorted(tuple(r) for r in kept.collect()) == sorted(set(rows[:2]))
 
 
 def test_empty_table(spark):
