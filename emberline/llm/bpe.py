@@ -6,8 +6,9 @@ pair of minimum rank, until no pair of the piece is in the table. Decoding joins
 the vocabulary and concatenates their bytes by an aggregation ordered by position. A document's ids and bytes are the
 concatenation of its pieces'.
 
-Pieces of more than `long_piece` bytes, on which one merge a round would be quadratic, are contracted by the same rule
-with a heap. The worker's memory of pieces is emptied when it holds `remembered` of them.
+Pieces of more than `long_piece` bytes, on which one merge a round would be quadratic, take the same steps in a recursion
+that contracts a pair at all its places at once, wherever no pair that such a contraction makes can rank before it; the
+order of the steps then makes no difference. The worker remembers the pieces met last, up to twice `remembered`.
 
 Defined cases: null text counts as empty; an empty text has no ids; repeated rows are encoded one by one; a text of any
 length is encoded whole; an empty table gives an empty result.
@@ -17,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +34,7 @@ class BpeParams:
     pattern: str
     batch_chars: int = 8_000_000
     long_piece: int = 200
-    remembered: int = 600_000
+    remembered: int = 300_000
 
 
 ENCODE = """
@@ -49,6 +49,28 @@ with recursive step(it, wid, toks) as (
 select wid, arg_max(toks, it) as ids from step group by wid order by wid
 """
 
+#: The same for long pieces: of the places of the pair of least rank every second of adjoining ones, from the left, is
+#: contracted; the first alone where the merged token may start or end a pair of smaller rank. Only a piece's last state
+#: is kept.
+ENCODE_LONG = """
+with recursive step(wid, toks) using key (wid) as (
+  select wid, list(tok order by pos) from piece_tokens group by wid
+  union all
+  select wid, list(case when start then least_m else tok end order by p) from (
+    select *, coalesce(lag(start) over (partition by wid order by p), false) as used from (
+      select *, m is not distinct from least_m and case when safe then (p - first) % 2 = 0 else p = leftmost end as start from (
+        select *, min(p) over (partition by wid, hit, island) as first, min(case when hit then p end) over (partition by wid) as leftmost from (
+          select *, p - row_number() over (partition by wid, hit order by p) as island from (
+            select *, m is not distinct from least_m as hit from (
+              select wid, p, tok, m, min(m) over (partition by wid) as least_m, arg_min(safe, m) over (partition by wid) as safe from (
+                select wid, p, toks[p] as tok, toks[p + 1] as follows from (select wid, toks, unnest(range(1, len(toks) + 1)) as p from step)
+              ) left join merges on l = tok and r = follows)
+            where least_m is not null)))))
+  where not used
+  group by wid)
+select wid, toks as ids from step order by wid
+"""
+
 DECODE = """
 select rid, string_agg(bytes, '' order by pos) as bytes from id_runs join vocabulary using (tok) group by rid order by rid
 """
@@ -86,65 +108,56 @@ class Codec:
             {"tok": pa.array(self.ranks.values(), pa.int32()), "bytes": [t.hex() for t in self.ranks]}
         )
         self.db.execute("create table merges as select l, r, m::bigint as m from merges")
+        self.db.execute(
+            "alter table merges add column safe boolean; update merges set safe = m not in ("
+            "select l from merges where m < l union all select r from merges where m < r)"
+        )
         self.db.execute("create table vocabulary as select * from vocabulary")
-        self.pair_rank = {(a, b): m for a, b, m in rows}
         self.byte_ids = [self.ranks[bytes([i])] for i in range(256)]
         self.ids: dict[str, bytes] = {}
+        self.former: dict[str, bytes] = {}
         self.decoded: dict[bytes, bytes] = {}
 
-    def _by_heap(self, piece: bytes) -> list[int]:
-        toks = [self.byte_ids[b] for b in piece]
-        n = len(toks)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = self.pair_rank
-        heap = [(m, i, toks[i], toks[i + 1]) for i in range(n - 1) if (m := rank.get((toks[i], toks[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            m, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if toks[i] != a or j >= n or toks[j] != b:
-                continue
-            toks[i], toks[j] = m, -1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (x := rank.get((m, toks[k]))) is not None:
-                    heapq.heappush(heap, (x, i, m, toks[k]))
-            if (p := before[i]) >= 0 and (x := rank.get((toks[p], m))) is not None:
-                heapq.heappush(heap, (x, p, toks[p], m))
-        return [t for t in toks if t >= 0]
+    def _contract(self, query: str, pieces: list[str]) -> dict[str, bytes]:
+        import numpy as np
+
+        raw = [p.encode() for p in pieces]
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        ends = np.cumsum(lengths)
+        piece_tokens = pa.table(  # noqa: F841
+            {
+                "wid": np.repeat(np.arange(len(raw), dtype=np.int32), lengths),
+                "pos": (np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)).astype(np.int32),
+                "tok": np.array(self.byte_ids, np.int32)[np.frombuffer(b"".join(raw), np.uint8)],
+            }
+        )
+        ids = self.db.execute(query).to_arrow_table()["ids"].combine_chunks()
+        values, offsets = ids.values.to_numpy().astype("<u4").tobytes(), (ids.offsets.to_numpy() * 4).tolist()
+        return {p: values[a:b] for p, a, b in zip(pieces, offsets, offsets[1:])}
 
     def learn(self, pieces: set[str]) -> None:
-        """Encodes the pieces not met so far, and decodes their ids."""
+        """Encodes the pieces not met lately, and decodes their ids."""
         import numpy as np
 
-        known = self.ids
-        new = [p for p in pieces if p not in known]
+        known, former = self.ids, self.former
         fresh: dict[str, bytes] = {}
         short: list[str] = []
-        raw: list[bytes] = []
-        for p in new:
+        long_ones: list[str] = []
+        for p in pieces:
+            if p in known:
+                continue
+            if (ids := former.get(p)) is not None:
+                known[p] = ids
+                continue
             b = p.encode()
             if (whole := self.ranks.get(b)) is not None:
                 fresh[p] = whole.to_bytes(4, "little")
-            elif len(b) > self.params.long_piece:
-                fresh[p] = np.array(self._by_heap(b), "<u4").tobytes()
             else:
-                short.append(p)
-                raw.append(b)
+                (long_ones if len(b) > self.params.long_piece else short).append(p)
         if short:
-            lengths = np.fromiter(map(len, raw), np.int64, len(raw))
-            ends = np.cumsum(lengths)
-            piece_tokens = pa.table(  # noqa: F841
-                {
-                    "wid": np.repeat(np.arange(len(raw), dtype=np.int32), lengths),
-                    "pos": (np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)).astype(np.int32),
-                    "tok": np.array(self.byte_ids, np.int32)[np.frombuffer(b"".join(raw), np.uint8)],
-                }
-            )
-            ids = self.db.execute(ENCODE).to_arrow_table()["ids"].combine_chunks()
-            values, offsets = ids.values.to_numpy().astype("<u4").tobytes(), (ids.offsets.to_numpy() * 4).tolist()
-            fresh.update((p, values[a:b]) for p, a, b in zip(short, offsets, offsets[1:]))
+            fresh |= self._contract(ENCODE, short)
+        if long_ones:
+            fresh |= self._contract(ENCODE_LONG, long_ones)
         known.update(fresh)
         runs = [r for r in {*fresh.values()} if r not in self.decoded]
         if runs:
@@ -162,9 +175,11 @@ class Codec:
             self.decoded.update(zip(runs, map(bytes.fromhex, out)))
 
     def forget(self) -> None:
+        """Pieces that come often are met again before they have grown old twice."""
         if len(self.ids) > self.params.remembered:
-            self.ids.clear()
-            self.decoded.clear()
+            self.former, self.ids = self.ids, {}
+            kept = set(self.former.values())
+            self.decoded = {ids: b for ids, b in self.decoded.items() if ids in kept}
 
 
 def _row(codec: Codec, words: list[str], want_ids: bool) -> tuple:

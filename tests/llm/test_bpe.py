@@ -33,5 +33,21 @@ def test_as_the_library_encodes(spark):
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("long_piece", [2, 10_000])
+def test_both_recursions_as_the_library(long_piece):
+    """Each piece of up to some hundred bytes through either recursion, and long ones through that for them."""
+    params = queries.bpe_params()
+    codec = bpe.Codec(bpe.BpeParams(params.ranks, params.pattern, long_piece=long_piece))
+    encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    random.seed(4)
+    letters = ["etaoinshr", "ab", "a", "thein", "éüß日本語"]
+    pieces = {"".join(random.choice(random.choice(letters)) for _ in range(random.randrange(1, 60))) for _ in range(400)}
+    if long_piece == 2:
+        pieces |= {"".join(random.choice("etaoinshr") for _ in range(6000)), "ab" * 3000, "a" * 5001}
+    codec.learn(pieces)
+    for p in pieces:
+        assert np.frombuffer(codec.ids[p], "<u4").tolist() == encoding._encode_single_piece(p), p
+
+
 def test_empty_table(spark):
     assert bpe.encode_decode(spark.createDataFrame([], "doc_id long, text string"), queries.bpe_params()).count() == 0
