@@ -7,23 +7,28 @@ down) and must be done when the fluid schedule ends it (its deadline, rounded up
 windows places every block inside its window, so at any slot every source is less than one block from its target.
 
 At the end of every cycle the fluid amounts are whole numbers, so cycles are scheduled independently and in parallel: a
-cycle's group holds as many rows as the weights add up to, whatever the table's size. Documents travel as keys only;
-a source that holds a third of all rows is numbered in buckets.
+cycle's group holds a row per source, whatever the table's size, and cycles alike in rates and numbers of blocks share
+one schedule in a task. Documents are placed as keys only; a source that holds a third of all rows is numbered in buckets
+and counted out in spans of cycles.
 
 Defined cases: null source is a source; sources without a weight get `default_weight`; rows that repeat a doc_id within
-their source have a place each (mix() gives them that of the first); null doc_id is one such id; an empty table gives an empty result; the last
+their source have a place each; null doc_id is one such id; an empty table gives an empty result; the last
 block of a source may be short; columns named like the added ones are replaced, all others pass through.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from fractions import Fraction
 from functools import lru_cache
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -40,15 +45,24 @@ class MixParams:
     bucket_rows: int = 20_000
 
 
+#: cycles of a source counted out by one row
+SPAN = 1024
+
 ADDED = ("cycle", "slot", "source_block", "release", "deadline", "offset")
 
 
 @lru_cache(maxsize=4096)
 def windows(rates: tuple[int, ...], counts: tuple[int, ...]) -> list[tuple[int, int, int, int]]:
     """(release, deadline, source, k) of every block of a cycle; exact, as all amounts are fractions over a rate."""
+    # at block k of a source of some rate, the sources with counts / rates up to k / rate are done, the others under way
+    by_end = sorted(range(len(rates)), key=lambda s: Fraction(counts[s], rates[s]))
+    ends = [Fraction(counts[s], rates[s]) for s in by_end]
+    done = [0, *accumulate(counts[s] for s in by_end)]
+    under_way = [*list(accumulate(rates[s] for s in reversed(by_end)))[::-1], 0]
 
     def fluid(k: int, rate: int) -> int:
-        return sum(min(a * k, c * rate) for a, c in zip(rates, counts))
+        i = bisect_right(ends, Fraction(k, rate))
+        return done[i] * rate + under_way[i] * k
 
     return [
         (fluid(k, a) // a, -(-fluid(k + 1, a) // a), s, k)
@@ -74,17 +88,21 @@ def earliest_deadline_first(rates: tuple[int, ...], counts: tuple[int, ...]) ->
     return out
 
 
-def _schedule_cycle(blocks: pd.DataFrame) -> pd.DataFrame:
-    # a null source sorts first
-    per = blocks.assign(null=blocks["source"].isna()).groupby("sid", sort=False).agg(
-        source=("source", "first"), null=("null", "first"), rate=("rate", "first"), n=("sid", "size"), first=("source_block", "min")
+def _schedule_cycle(sources: pd.DataFrame) -> pd.DataFrame:
+    """A row per source of a cycle to a row per block."""
+    per = sources.assign(null=sources["source"].isna()).sort_values(["null", "source"], ascending=[False, True], kind="stable")
+    plan = earliest_deadline_first(tuple(per["rate"].tolist()), tuple(per["n"].tolist()))
+    slot, release, deadline, s, k = (np.array(x) for x in zip(*plan))
+    return pd.DataFrame(
+        {
+            "sid": per["sid"].to_numpy()[s],
+            "cycle": per["cycle"].iloc[0],
+            "source_block": per["cycle"].iloc[0] * per["rate"].to_numpy()[s] + k,
+            "slot": slot,
+            "release": release,
+            "deadline": deadline,
+        }
     )
-    per = per.sort_values(["null", "source"], ascending=[False, True], kind="stable")
-    plan = earliest_deadline_first(tuple(per["rate"]), tuple(per["n"]))
-    at = per.reset_index()
-    cycle = blocks["cycle"].iloc[0]
-    rows = [(at["sid"].iat[s], cycle, at["first"].iat[s] + k, slot, r, d) for slot, r, d, s, k in plan]
-    return pd.DataFrame(rows, columns=["sid", "cycle", "source_block", "slot", "release", "deadline"])
 
 
 def positions(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
@@ -123,12 +141,13 @@ def positions(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     per_source = per_source.withColumn("rate", rate.cast("long")).withColumn(
         "blocks", F.expr(f"(rows + {params.block_rows - 1}) div {params.block_rows}")
     )
-    cycles = per_source.withColumn("cycle", F.explode(F.expr("sequence(0L, (blocks - 1) div rate)")))
-    blocks = cycles.withColumn(
-        "source_block", F.explode(F.expr("sequence(cycle * rate, least(cycle * rate + rate, blocks) - 1)"))
-    )
+    # a source's cycles are counted out span by span, so that no row makes them all
+    spans = per_source.withColumn("last", F.expr("(blocks - 1) div rate"))
+    spans = spans.withColumn("span", F.explode(F.expr(f"sequence(0L, last div {SPAN})"))).repartition("sid", "span")
+    cycle = F.explode(F.expr(f"sequence(span * {SPAN}, least(last, span * {SPAN} + {SPAN - 1}))"))
+    cycles = spans.withColumn("cycle", cycle).withColumn("n", F.expr("least(rate, blocks - cycle * rate)"))
     schedule = (
-        blocks.select("sid", "source", "rate", "cycle", "source_block")
+        cycles.select("sid", "source", "rate", "cycle", "n")
         .groupBy("cycle")
         .applyInPandas(
             _schedule_cycle, "sid string, cycle long, source_block long, slot long, release long, deadline long"
@@ -137,11 +156,19 @@ def positions(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     return placed.join(schedule, ["sid", "source_block"]).select("source", "doc_id", "copy", *ADDED)
 
 
+def _keys(docs: DataFrame) -> list[Column]:
+    """Source and doc_id with nulls as values, so that one partitioning serves both the copies and the join."""
+    told = lambda c: F.coalesce(F.concat(F.lit("+"), docs[c].cast("string")), F.lit("-"))
+    return [told("source").alias("__s"), told("doc_id").alias("__d")]
+
+
 def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """The rows of docs in mixed order, with the columns of ADDED."""
-    place = positions(docs, params).where("copy = 0")
-    place = place.select(F.col("source").alias("__s"), F.col("doc_id").alias("__d"), *[F.col(c).alias(f"__{c}") for c in ADDED])
-    out = docs.join(place, docs["source"].eqNullSafe(place["__s"]) & docs["doc_id"].eqNullSafe(place["__d"]))
+    place = positions(docs, params)
+    place = place.select(*_keys(place), F.col("copy").alias("__copy"), *[F.col(c).alias(f"__{c}") for c in ADDED])
+    copy = F.row_number().over(W.partitionBy("__s", "__d").orderBy("__h")) - F.lit(1)
+    rows = docs.select("*", *_keys(docs), F.xxhash64(*docs.columns).alias("__h")).withColumn("__copy", copy.cast("long"))
+    out = rows.join(place, ["__s", "__d", "__copy"])
     order = ["__cycle", "__slot", "__offset"]
     out = out.repartitionByRange(*order).sortWithinPartitions(*order)
-    return out.withColumns({c: F.col(f"__{c}") for c in ADDED}).drop("__s", "__d", *[f"__{c}" for c in ADDED])
+    return out.withColumns({c: F.col(f"__{c}") for c in ADDED}).drop("__s", "__d", "__h", "__copy", *[f"__{c}" for c in ADDED])

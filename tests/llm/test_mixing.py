@@ -56,6 +56,32 @@ def test_mix_keeps_every_row_and_the_order(spark):
     assert first.count("a") == 16 and first.count("b") == 8 and first.count(None) == 8
 
 
+def test_positions_against_a_schedule_made_slot_by_slot(spark):
+    """Sources that run out in different cycles: an independent schedule by the definition, over all blocks at once."""
+    sizes = {"a": 90, "b": 31, "c": 8, None: 3}
+    docs = spark.createDataFrame([(i, s) for s, n in sizes.items() for i in range(n)], "doc_id long, source string")
+    params = mixing.MixParams(weights={"a": 1.5, "b": 1.0, "c": 0.5}, default_weight=0.25, blocks_per_weight=4, block_rows=3)
+    rates = {"a": 6, "b": 4, "c": 2, None: 1}
+    blocks = {s: -(-n // 3) for s, n in sizes.items()}
+    want, cycle = [], 0
+    while any(blocks[s] > cycle * rates[s] for s in sizes):
+        live = [s for s in (None, "a", "b", "c") if blocks[s] > cycle * rates[s]]
+        counts = [min(rates[s], blocks[s] - cycle * rates[s]) for s in live]
+        of = [rates[s] for s in live]
+        at = lambda k, a: sum(min(Fraction(r * k, a), Fraction(c)) for r, c in zip(of, counts))  # noqa: B023, E731
+        todo = {(s, k): (at(k, of[i]) // 1, -(-at(k + 1, of[i]) // 1)) for i, s in enumerate(live) for k in range(counts[i])}
+        for slot in range(len(todo)):
+            ready = [x for x in todo if todo[x][0] <= slot]
+            s, k = min(ready, key=lambda x: (todo[x][1], live.index(x[0]), x[1]))
+            release, deadline = todo.pop((s, k))
+            want.append((str(s), cycle, slot, cycle * rates[s] + k, release, deadline))
+        cycle += 1
+    got = mixing.positions(docs, params)
+    rows = {(str(r.source), r.cycle, r.slot, r.source_block, r.release, r.deadline) for r in got.collect()}
+    assert sorted(rows) == sorted(want)
+    assert got.count() == sum(sizes.values())
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, source string, text string")
     assert mixing.mix(docs).count() == 0
