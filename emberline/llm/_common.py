@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,23 +39,36 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-_made: list[str] = []
+_scopes: list[list[str]] = []
 
 
-def new_path(spark: SparkSession, tag: str, keep: bool = False) -> str:
-    """A fresh path in the shared folder; sweep() removes what lies there unless it is to be kept."""
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the shared folder; inside scratch() it is removed at the end."""
     path = f"{shared_dir(spark)}/emberline-{tag}-{uuid.uuid4().hex}"
-    if not keep:
-        _made.append(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return path
 
 
-def sweep(spark: SparkSession) -> None:
-    """Removes the intermediate tables written so far: for callers that have written their result."""
-    jvm = spark.sparkContext._jvm
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def remove(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at the end, the intermediate tables written inside: for callers that write their result in it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:

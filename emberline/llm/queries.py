@@ -19,8 +19,8 @@ def bpe_params() -> bpe.BpeParams:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.positions(docs, MIX).select("doc_id", "source", *mixing.ADDED)
+    mixed = mixing.mix(read(spark, sf_dir, "documents"), MIX)
+    return mixed.select("doc_id", "source", F.sha2("text", 256).alias("text_sha256"), *mixing.ADDED)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,8 +113,7 @@ select page_id, payload_bytes, payload_digest,
   case when payload_bytes >= 1000 and page_id < keeper then keeper end as refers_to from k""",
     "op3_topk_search": r"""
 with v as (select distinct vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as q from embeddings
-  where embedding is not null and len(embedding) > 0
-    and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+  where embedding is not null and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
 s as (select a.vec_id as query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::bigint as score
   from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id)
 select query_id, rank::int as rank, vec_id, score from (
@@ -128,8 +127,11 @@ cuts as (select *, case when i = n or substr(md5(coalesce(lag(h) over w, '') ||
 parts as (select *, sum(cut) over (partition by doc_id, td order by i) - cut as no from cuts),
 chunks as (select doc_id, td, no, count(*) as lines, string_agg(line, chr(10) order by i) as text,
   count(*) filter (where regexp_matches(line, '[^\x20\x09-\x0D]')) as worded from parts group by all),
-gone as (select *, worded >= 2 and row_number() over (partition by text, worded >= 2 order by doc_id nulls first, td, no) > 1 as out
-  from chunks),
+again as (select *, worded > 0 and row_number() over (partition by text, worded > 0 order by doc_id nulls first, td, no) > 1 as again,
+  len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words, row_number() over (partition by doc_id, td, worded > 0 order by no) as place from chunks),
+run as (select *, place - row_number() over (partition by doc_id, td, again order by place) as run from again),
+gone as (select *, again and (sum(worded) over w >= 2 or sum(words) over w > 50) as out from run
+  window w as (partition by doc_id, td, again, run)),
 kept as (select doc_id, td, sum(lines)::bigint as n_lines, coalesce(sum(lines) filter (where out), 0)::bigint as n_removed_lines,
   coalesce(count(*) filter (where out), 0)::bigint as n_removed_chunks,
   coalesce(string_agg(text, chr(10) order by no) filter (where not out), '') as left_text from gone group by doc_id, td)

@@ -20,7 +20,7 @@ def chunks(text):
 
 
 def without_repeats(text, earlier):
-    seen = [c for c in chunks(earlier) if len(c) > 1]
+    seen = chunks(earlier)  # what repeats here is one run of many lines
     return "\n".join(line for c in chunks(text) if c not in seen for line in c)
 
 
@@ -66,3 +66,17 @@ def test_quality_edges(spark):
     out = {r.doc_id: r for r in quality.judge(m, quality.thresholds(quality.sketch(m))).collect()}
     assert [out[i].kept for i in (1, 2, 3, 4)] == [False, False, True, False]
     assert out[4].n_repeat_words == 120 and out[1].n_words == 0
+
+
+def test_line_dedup_runs(spark):
+    """A repeated line alone stays; two in a row go, as does one of more than 50 words; equal rows are one occurrence."""
+    two = "first of the two lines\nsecond of the two lines"
+    wide = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"own {i} a\n{two}\nown {i} b\ngreeting\nown {i} c\n{wide}\nown {i} d") for i in range(40)]
+    rows += [(100, "greeting\n" + two), (100, "greeting\n" + two)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = line_dedup.line_dedup(docs, line_dedup.LineDedupParams(cut_below=16)).collect()
+    left = {r.doc_id: r.text for r in out}
+    assert left[0] == rows[0][1]
+    assert all(left[i] == f"own {i} a\nown {i} b\ngreeting\nown {i} c\nown {i} d" for i in range(1, 40))
+    assert [r.text for r in out if r.doc_id == 100] == ["", ""]
