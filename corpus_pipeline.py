@@ -2,33 +2,49 @@
 
 Quality rules drop documents, line dedup rewrites texts, the Jaccard join keeps one document of each near-duplicate
 component, mixing orders the rows (and the written files) by the target weights, and byte-level BPE encodes them. The
-encoded rows carry their place in the mix, as a reader of Parquet files need not keep the order they were written in.
+encoded rows carry their token ids and their place in the mix, as a reader of Parquet files need not keep the order they
+were written in.
+
+Defined cases, for every stage: null text has no words, so the quality rules drop it, and the later stages pass it
+through (no lines, no links, no tokens); an empty text likewise; texts of any length are taken whole; repeated rows are
+judged alike, and the Jaccard join keeps one row of an id and text; rows with a null doc_id are kept by it; null lang and
+null source are groups like any other; an empty table gives an empty corpus; extra columns pass through all stages
+whatever they are called, but for the last, whose own columns replace those of the same name.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.llm import bpe, jaccard, line_dedup, mixing, quality
-from emberline.llm._common import new_path, read, sweep
+from emberline.llm._common import exists, read, remove, scratch, shared_dir
 from emberline.llm.queries import MIX, bpe_params
 
 #: Rows in this order are the mix.
 PLACE = ("cycle", "slot", "offset")
 
 
+def _packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The columns an operator works on, beside the row as it came: whatever else is in it clashes with nothing."""
+    return docs.select(F.struct(*docs.columns).alias("__row"), *names)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    row = docs.select(F.struct(*docs.columns).alias("__row"), "text", "lang", "source")
-    measured = quality.measured_table(row)
+    measured = quality.measured_table(_packed(docs, "text", "lang", "source"))
     return quality.judge(measured, quality.thresholds(quality.sketch(measured))).where("kept").select("__row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(docs)
+    rest = [c for c in docs.columns if c != "text"]
+    row = docs.select(F.struct(*rest).alias("__row"), "doc_id", "text")
+    out = line_dedup.line_dedup(row)
+    now = {c: F.col(f"__row.{c}") for c in rest} | {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        now["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[now[c].alias(c) for c in docs.columns])
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +52,13 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, MIX).select(*docs.columns)
+    return mixing.mix(_packed(docs, "source", "doc_id"), MIX).select("__row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs, MIX).select("doc_id", "lang", "source", "text", *PLACE)
-    return bpe.encode_decode(mixed, bpe_params(), keep_ids=True).drop("decoded")
+    placed = mixing.mix(_packed(docs, "source", "doc_id"), MIX)
+    rest = [f"__row.{c}" for c in docs.columns if c.lower() not in PLACE]
+    return bpe.encode_decode(placed.select(*rest, *PLACE), bpe_params(), keep_ids=True).drop("decoded")
 
 
 STAGES = [
@@ -56,17 +73,25 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The finished corpus, as written: every document's keys, place in the mix, digests and token_ids."""
-    docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = new_path(spark, f"stage-{name}", keep=True)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        sweep(spark)
+def corpus(spark: SparkSession, sf_dir: str, run_id: str | None = None) -> DataFrame:
+    """The finished corpus, as written: every document's columns, place in the mix, digests and token_ids.
+
+    A run that failed goes on behind its last finished stage if it is called again with its run_id. A stage's table is
+    removed once the next one is written.
+    """
+    folder = f"{shared_dir(spark)}/emberline-pipeline-{run_id or uuid.uuid4().hex}"
+    paths = [f"{folder}/{i}-{name}" for i, (name, _) in enumerate(STAGES)]
+    done = max((i for i, path in enumerate(paths) if exists(spark, f"{path}/_SUCCESS")), default=-1)
+    docs = spark.read.parquet(paths[done]) if done >= 0 else read(spark, sf_dir, "documents")
+    for i in range(done + 1, len(STAGES)):
+        with scratch(spark):
+            STAGES[i][1](spark, docs, sf_dir).write.mode("overwrite").parquet(paths[i])
+        docs = spark.read.parquet(paths[i])
+        if i:
+            remove(spark, paths[i - 1])
     return docs
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus in the order of the mix, without places and token ids."""
-    return corpus(spark, sf_dir).orderBy(*PLACE).drop(*PLACE, "token_ids")
+    """The corpus in the order of the mix."""
+    return corpus(spark, sf_dir).orderBy(*PLACE)
