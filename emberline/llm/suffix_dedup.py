@@ -5,21 +5,23 @@ Every byte covered by a `window`-byte string that also starts in a document with
 1. Sampling. Of all suffixes those at window minima are kept: of the `gram`-byte strings inside each window the one of
    least hash names a sampled suffix. Equal windows sample the same place, so every repeated window shows up as two
    sampled suffixes that start with the same gram. About one suffix in 17 is sampled.
-2. Screening. A suffix whose gram occurs in one document only cannot matter. Gram hashes meet in buckets, packed.
+2. Screening. A suffix whose gram occurs in one document only cannot matter. Grams that several documents of one task
+   share are settled there, and only their first and last document go on to meet the other tasks' grams, in buckets,
+   packed: so a gram that a third of all documents share is a few postings per task.
 3. Suffix array. Each remaining suffix, with the bytes its windows reach on either side, is range-partitioned by its
-   leading bytes with sampled splitters. The document id is the last part of the sort key, so a suffix that a third of
-   all documents share spreads over partitions. A partition sorts its suffixes by multikey quicksort over 8-byte tokens
-   and compares neighbours: equal suffixes of a larger document are covered whole; where suffixes share the gram and
-   differ further on, their windows are compared one by one.
-4. Across boundaries. The first and last gram of every partition may go on next door: their least occurrences of each
-   suffix meet once more, by window, in a grouped minimum; windows already covered stay behind.
+   leading bytes with sampled splitters. A gram stays in one partition unless it has more suffixes than a partition
+   should hold; such a hot gram is dealt over partitions by document. A partition sorts its suffixes by multikey
+   quicksort over 8-byte tokens and compares neighbours: equal suffixes of a larger document are covered whole; where
+   suffixes share the gram and differ further on, their windows are compared, one offset from the suffix at a time.
+4. Across boundaries. Only hot grams go on in other partitions: the windows that nothing in their partition covers meet
+   once more in a grouped minimum.
 5. The covered intervals travel to their documents, which are cut.
 
 Documents with equal texts need no search: all but the one with the smallest id are covered whole.
 
 Defined cases: null text is empty; texts shorter than the window keep everything; a null doc_id is no document with a
-smaller id, loses nothing and removes nothing; rows that repeat a doc_id remove nothing from one another; repeated rows
-get the same result each; an empty table gives an empty result; other columns are not carried.
+smaller id, loses nothing and removes nothing; rows that repeat a doc_id remove nothing from one another, whatever
+their texts; repeated rows get the same result each; a text of any length is searched whole; an empty table gives an empty result; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -33,9 +35,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import _bytes
-from ._common import materialise
+from ._common import materialise, salted_join
 
 U = np.uint64
 
@@ -57,21 +60,23 @@ class SuffixParams:
 # ---------------------------------------------------------------- screening
 
 
-def _packed(hashes: np.ndarray, docs: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, blob) of sampled grams: ids of the documents, then 7 bytes of hash and 4 of document each."""
-    order = np.argsort(hashes, kind="stable")
-    hashes, docs = hashes[order], docs[order]
+def _packed(hashes: np.ndarray, docs: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
+    """(bucket, blob) of grams sorted by hash: how many, then hashes, documents and how many documents each stands for."""
     bucket = (hashes >> U(64 - bits)).astype(np.int64)
     starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    blobs = []
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)]):
         ids, at = np.unique(docs[a:b], return_inverse=True)
         wide = 2 if len(ids) < 1 << 16 else 4
         tail = hashes[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
         head = np.array([len(ids), b - a, wide], "<i8").tobytes()
-        yield int(bucket[a]), head + ids.astype("<i8").tobytes() + tail.tobytes() + at.astype(f"<u{wide}").tobytes()
+        more = np.flatnonzero(counts[a:b] > 1)
+        rare = np.array([len(more)], "<i8").tobytes() + more.astype("<i4").tobytes() + counts[a:b][more].astype("<i8").tobytes()
+        blobs.append(head + ids.astype("<i8").tobytes() + tail.tobytes() + at.astype(f"<u{wide}").tobytes() + rare)
+    return pa.RecordBatch.from_pydict({"bucket": bucket[starts], "blob": blobs})
 
 
-def _unpacked(blob: bytes, bucket: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(blob: bytes, bucket: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n_ids, n, wide = np.frombuffer(blob, "<i8", 3).tolist()
     at = 24
     ids = np.frombuffer(blob, "<i8", n_ids, at)
@@ -81,28 +86,65 @@ def _unpacked(blob: bytes, bucket: int, bits: int) -> tuple[np.ndarray, np.ndarr
     at += 7 * n
     hashes = full.reshape(-1).view("<u8") & U((1 << 56) - 1)
     top = U((bucket << (64 - bits)) & ~((1 << 56) - 1))
-    return hashes | top, ids[np.frombuffer(blob, f"<u{wide}", n, at)]
+    docs = ids[np.frombuffer(blob, f"<u{wide}", n, at)]
+    at += wide * n
+    (more,) = np.frombuffer(blob, "<i8", 1, at).tolist()
+    counts = np.ones(n, np.int64)
+    where = np.frombuffer(blob, "<i4", more, at + 8)
+    counts[where] = np.frombuffer(blob, "<i8", more, at + 8 + 4 * more)
+    return hashes | top, docs, counts
 
 
 def _raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def _runs(*sorted_columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a new run of equal rows starts, and the index of each row's run."""
+    new = np.ones(len(sorted_columns[0]), bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in sorted_columns])
+    return new, np.cumsum(new) - 1
+
+
 def _sample(params: SuffixParams, bits: int):
-    """mapInArrow: documents to packed grams. Of equal texts in a task only the smallest id so far counts."""
+    """mapInArrow: documents to packed grams (bucket, blob), and to the grams that documents of the task share (doc_id,
+    grams). Of equal texts in a task only the smallest id so far counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
-        hashes: list[np.ndarray] = []
+        found: list[np.ndarray] = []
         docs: list[np.ndarray] = []
         held = 0
 
-        def flush():
-            rows = list(_packed(np.concatenate(hashes), np.concatenate(docs), bits))
-            hashes.clear()
+        def flush() -> Iterator[pa.RecordBatch]:
+            gram, doc = np.concatenate(found), np.concatenate(docs)
+            found.clear()
             docs.clear()
-            return pa.RecordBatch.from_pydict({"bucket": [r[0] for r in rows], "blob": [r[1] for r in rows]})
+            order = np.lexsort((doc, gram))
+            gram, doc = gram[order], doc[order]
+            fresh, _ = _runs(gram, doc)
+            gram, doc = gram[fresh], doc[fresh]
+            new, of = _runs(gram)
+            size = np.bincount(of)
+            ends = np.concatenate([new[1:], [True]])
+            # the first of a gram's documents stands for all but the last
+            send = new | ends
+            packed = _packed(gram[send], doc[send], np.where(new, np.maximum(size[of] - 1, 1), 1)[send], bits)
+            yield pa.RecordBatch.from_arrays(
+                [*packed.columns, pa.nulls(len(packed), pa.int64()), pa.nulls(len(packed), pa.list_(pa.int64()))], names=names
+            )
+            shared = size[of] > 1
+            gram, doc = gram[shared], doc[shared]
+            order = np.argsort(doc, kind="stable")
+            gram, doc = gram[order], doc[order]
+            starts = np.flatnonzero(_runs(doc)[0]) if len(doc) else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(np.append(starts, len(doc)).astype(np.int32), pa.array(gram.view(np.int64)))
+            n = len(starts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(doc[starts], pa.int64()), lists], names=names
+            )
 
+        names = ["bucket", "blob", "doc_id", "grams"]
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), _raw(batch.column("text"))):
                 if doc is None or len(text) < params.window:
@@ -113,77 +155,96 @@ def _sample(params: SuffixParams, bits: int):
                 if len(seen) < 500_000:  # forgetting only costs work
                     seen[key] = doc
                 h = np.unique(_bytes.minimizers(text, params.window, params.gram)[1])
-                hashes.append(h)
+                found.append(h)
                 docs.append(np.full(len(h), doc, np.int64))
                 held += len(h)
-            if held > 3_000_000:
-                yield flush()
-                held = 0
-        if hashes:
-            yield flush()
+                if held > 2_000_000:
+                    yield from flush()
+                    held = 0
+        if found:
+            yield from flush()
 
     return run
 
 
-def _shared(bits: int):
-    """applyInPandas: the grams of a bucket that two documents or more have, with every document that has them."""
+def _shared(bits: int, hot_from: int):
+    """applyInPandas: the grams of a bucket that two documents or more have, with those documents not yet told by their
+    tasks; and (n instead of doc_id) the grams of at least hot_from documents."""
 
     def run(bucket: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpacked(b, int(n), bits) for n, b in zip(bucket["bucket"], bucket["blob"])]
-        hashes, docs = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((docs, hashes))
-        hashes, docs = hashes[order], docs[order]
-        new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+        gram, doc, count = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((doc, gram))
+        gram, doc, count = gram[order], doc[order], count[order]
+        new, of = _runs(gram)
         starts = np.flatnonzero(new)
-        ends = np.concatenate([starts[1:], [len(hashes)]]) - 1
-        shared = (docs[starts] != docs[ends])[np.cumsum(new) - 1]
-        fresh = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (docs[1:] != docs[:-1])])
+        ends = np.append(starts[1:], len(gram)) - 1
+        shared = (doc[starts] != doc[ends])[of]
+        total = np.add.reduceat(count, starts) if len(starts) else np.empty(0, np.int64)
+        fresh, _ = _runs(gram, doc)
         keep = shared & fresh
-        return pd.DataFrame({"doc_id": docs[keep], "gram": hashes[keep].view(np.int64)})
+        hot = starts[total >= hot_from]
+        told = pd.DataFrame({"doc_id": doc[keep], "gram": gram[keep].view(np.int64), "n": np.zeros(keep.sum(), np.int64)})
+        loud = pd.DataFrame({"doc_id": np.full(len(hot), -1), "gram": gram[hot].view(np.int64), "n": total[total >= hot_from]})
+        return pd.concat([told, loud])
 
     return run
 
 
 # ---------------------------------------------------------------- suffixes
 
-#: meta: text tag (16 bits), bytes right of the suffix start (7), left of it (7), position (33)
-def _meta(tag: int, right: np.ndarray, left: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    return (np.int64(tag) << 47) | (right << 40) | (left << 33) | pos
+#: meta: bytes right of the suffix start (7 bits), left of it (7), position (49)
+def _meta(right: np.ndarray, left: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    return (right.astype(np.int64) << 56) | (left.astype(np.int64) << 49) | pos
 
 
-def _parts(meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return meta >> 47, (meta >> 40) & 127, (meta >> 33) & 127, meta & ((1 << 33) - 1)
+def _parts(meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return meta >> 56, (meta >> 49) & 127, meta & ((1 << 49) - 1)
 
 
-def _suffixes(params: SuffixParams):
-    """mapInArrow: (doc_id, tag, z, grams) to the sampled suffixes with a shared gram: (key, doc_id, meta)."""
+def _suffixes(params: SuffixParams, hot):
+    """mapInArrow: (doc_id, tag, z, grams) to the sampled suffixes with a shared gram: (lead, part, key, doc_id, tag, meta).
+
+    part is 0, but for hot grams the number, from 1, of the part of its documents.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unzip = zstandard.ZstdDecompressor()
+        loud, parts = hot.value
         for batch in batches:
             keys: list[bytes] = []
-            docs: list[np.ndarray] = []
-            metas: list[np.ndarray] = []
+            columns: list[tuple] = []
+
+            def flush():
+                part, doc, tag, meta = (np.concatenate(x) for x in zip(*columns))
+                lead = [k[: params.gram] for k in keys]
+                return pa.RecordBatch.from_pydict({"lead": lead, "part": part, "key": keys, "doc_id": doc, "tag": tag, "meta": meta})
+
             grams = batch.column("grams")
             for i, (doc, tag, z) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "z")))):
                 text = unzip.decompress(z)
                 at, hashes, first, last = _bytes.minimizers(text, params.window, params.gram)
                 wanted = grams[i].values.to_numpy(zero_copy_only=False).view(U)
                 hit = np.isin(hashes, wanted)
-                at, first, last = at[hit], first[hit], last[hit]
+                at, hashes, first, last = at[hit], hashes[hit], first[hit], last[hit]
                 if not len(at):
                     continue
+                part = np.zeros(len(at), np.int64)
+                if len(loud):
+                    place = np.minimum(np.searchsorted(loud, hashes), len(loud) - 1)
+                    dealt = int(_bytes.mixed(np.array([doc], np.int64).view(U))[0] >> U(1))
+                    part = np.where(loud[place] == hashes, 1 + dealt % parts[place], 0)
                 ends = last + params.window
                 keys += [text[s:e] + text[f:s] for s, e, f in zip(at.tolist(), ends.tolist(), first.tolist())]
-                docs.append(np.full(len(at), doc, np.int64))
-                metas.append(_meta(tag, ends - at, at - first, at))
-                if len(keys) > 200_000:
-                    yield pa.RecordBatch.from_pydict({"key": keys, "doc_id": np.concatenate(docs), "meta": np.concatenate(metas)})
-                    keys, docs, metas = [], [], []
+                same = lambda x: np.full(len(at), x, np.int64)  # noqa: B023, E731
+                columns.append((part, same(doc), same(tag), _meta(ends - at, at - first, at)))
+                if len(keys) > 100_000:
+                    yield flush()
+                    keys, columns = [], []
             if keys:
-                yield pa.RecordBatch.from_pydict({"key": keys, "doc_id": np.concatenate(docs), "meta": np.concatenate(metas)})
+                yield flush()
 
     return run
 
@@ -224,17 +285,6 @@ def _matrix(keys: list[bytes], width: int) -> np.ndarray:
     return np.array(keys, f"S{width}").view(np.uint8).reshape(-1, width)
 
 
-def _window_rows(context: np.ndarray, right: np.ndarray, left: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place, bytes): every window of every context (the bytes left of the suffix, then the suffix)."""
-    counts = left + right - window + 1
-    row = np.repeat(np.arange(len(counts)), counts)
-    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    wide = (window + 7) // 8 * 8
-    out = np.zeros((len(row), wide), np.uint8)
-    out[:, :window] = context[row[:, None], place[:, None] + np.arange(window)]
-    return row, place, out
-
-
 def _contexts(keys: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Bytes left of the suffix moved before it."""
     n, width = keys.shape
@@ -243,94 +293,103 @@ def _contexts(keys: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarr
     return np.take_along_axis(keys, np.minimum(source, width - 1), 1)
 
 
+def _windows(context: np.ndarray, place: np.ndarray, window: int) -> np.ndarray:
+    """The window at `place` of every context, filled up to whole tokens."""
+    out = np.zeros((len(place), (window + 7) // 8 * 8), np.uint8)
+    out[:, :window] = np.lib.stride_tricks.sliding_window_view(context, window, axis=1)[np.arange(len(place)), place]
+    return out
+
+
+def _intervals(bits: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last) of every run of set bits."""
+    on = (bits[:, None] >> np.arange(count)) & 1 == 1
+    edge = np.zeros((len(bits), 1), bool)
+    row, first = np.nonzero(on & ~np.hstack([edge, on[:, :-1]]))
+    return row, first, np.nonzero(on & ~np.hstack([on[:, 1:], edge]))[1]
+
+
 def _compare(params: SuffixParams):
-    """mapInArrow over a sorted range of suffixes: covered intervals, and the suffixes left to compare next door."""
+    """mapInArrow over a sorted range of suffixes: covered intervals, and the suffixes of hot grams left to compare."""
     width = (2 * params.window - params.gram + 7) // 8 * 8
+    offsets = params.window - params.gram + 1
 
-    def partition(keys: list[bytes], doc: np.ndarray, meta: np.ndarray) -> Iterator[dict]:
-        raw = _matrix(keys, width)
+    def partition(raw: np.ndarray, doc: np.ndarray, tag: np.ndarray, meta: np.ndarray, hot: np.ndarray) -> Iterator[dict]:
+        right, left, _ = _parts(meta)
+        order = multikey_quicksort(np.column_stack([_words(raw), ((right << 7) | left).astype(U)]), doc)
+        raw, doc, tag, meta, hot = raw[order], doc[order], tag[order], meta[order], hot[order]
+        right, left, pos = _parts(meta)
         tokens = _words(raw)
-        _, right, left, _ = _parts(meta)
-        sizes = ((right << 7) | left).astype(U)
-        order = multikey_quicksort(np.column_stack([tokens, sizes]), doc)
-        raw, tokens, sizes, doc, meta = raw[order], tokens[order], sizes[order], doc[order], meta[order]
-        tag, right, left, pos = _parts(meta)
-        lead = params.gram // 8
-        new_gram = np.concatenate([[True], (tokens[1:, :lead] != tokens[:-1, :lead]).any(1)])
-        new_suffix = np.concatenate([[True], (tokens[1:] != tokens[:-1]).any(1) | (sizes[1:] != sizes[:-1])])
-        of_suffix, of_gram = np.cumsum(new_suffix) - 1, np.cumsum(new_gram) - 1
+        _, of_gram = _runs(*tokens[:, : params.gram // 8].T)
+        new_suffix, of_suffix = _runs(*tokens.T, right, left)
+        del tokens
         least = doc[np.flatnonzero(new_suffix)][of_suffix]
         covered = doc > least
         yield {"doc_id": doc[covered], "tag": tag[covered], "start": (pos - left)[covered], "end": (pos + right)[covered]}
-        kinds = np.bincount(of_gram[new_suffix])
-        edge = (of_gram == 0) | (of_gram == of_gram[-1])
-        rest = ~covered & ((kinds[of_gram] > 1) | edge)
-        # bit w: window w of the suffix is still to be compared next door
+        several = np.bincount(of_gram[new_suffix])[of_gram] > 1
+        # bit w: window w of the suffix is not known to be covered
         open_ = (np.int64(1) << (left + right - params.window + 1)) - 1
-        here = np.flatnonzero(rest & (kinds[of_gram] > 1))
-        # whole grams at a time, about a quarter of a million windows each
-        done = 0
-        load = np.cumsum((left + right - params.window + 1)[here])
-        while done < len(here):
-            upto = int(np.searchsorted(load, (load[done - 1] if done else 0) + 250_000, "right"))
-            upto = max(upto, done + 1)
-            upto = int(np.searchsorted(of_gram[here], of_gram[here[upto - 1]], "right"))
-            mine = here[done:upto]
-            done = upto
-            row, place, bytes_ = _window_rows(_contexts(raw[mine], right[mine], left[mine]), right[mine], left[mine], params.window)
-            offset = (left[mine][row] - place).astype(U)
-            keyed = np.column_stack([_words(bytes_), offset])
-            d = doc[mine][row]
+        here = np.flatnonzero(~covered & several)
+        context = _contexts(raw[here], right[here], left[here])
+        hits = np.zeros(len(here), np.int64)
+        for offset in range(offsets):
+            have = np.flatnonzero((left[here] >= offset) & (right[here] + offset >= params.window))
+            if len(have) < 2:
+                continue
+            place = left[here[have]] - offset
+            keyed, d = _words(_windows(context[have], place, params.window)), doc[here[have]]
             o = multikey_quicksort(keyed, d)
-            keyed, d, row, place = keyed[o], d[o], row[o], place[o]
-            new = np.concatenate([[True], (keyed[1:] != keyed[:-1]).any(1)])
-            hit = d > d[np.flatnonzero(new)][np.cumsum(new) - 1]
-            m, p = mine[row[hit]], place[hit]
-            np.bitwise_and.at(open_, m, ~(np.int64(1) << p))
-            begin = pos[m] - left[m] + p
-            yield {"doc_id": doc[m], "tag": tag[m], "start": begin, "end": begin + params.window}
-        far = rest & edge & (open_ != 0)
+            new, of = _runs(*keyed[o].T)
+            late = o[d[o] > d[o][np.flatnonzero(new)][of]]
+            hits[have[late]] |= np.int64(1) << place[late]
+        open_[here] &= ~hits
+        row, first, last = _intervals(hits, offsets)
+        m = here[row]
+        begin = pos[m] - left[m]
+        yield {"doc_id": doc[m], "tag": tag[m], "start": begin + first, "end": begin + last + params.window}
+        far = ~covered & hot & (open_ != 0)
         if far.any():
-            yield {"doc_id": doc[far], "tag": tag[far], "key": [keys[i] for i in order[far].tolist()], "meta": meta[far], "open": open_[far]}
+            keys = [k[:n].tobytes() for k, n in zip(raw[far], (right + left)[far].tolist())]
+            yield {"doc_id": doc[far], "tag": tag[far], "key": keys, "meta": meta[far], "open": open_[far]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
-        keys = [k for b in parts for k in b.column("key").to_pylist()]
-        if not keys:
+        parts = [
+            (_matrix(b.column("key").to_pylist(), width), *(b.column(c).to_numpy() for c in ("doc_id", "tag", "meta", "part")))
+            for b in batches
+            if len(b)
+        ]
+        if not parts:
             return
-        doc = np.concatenate([b.column("doc_id").to_numpy() for b in parts])
-        meta = np.concatenate([b.column("meta").to_numpy() for b in parts])
-        schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("key", pa.binary()), ("meta", pa.int64()), ("open", pa.int64())])
-        for out in partition(keys, doc, meta):
+        raw, doc, tag, meta, part = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        names = {"doc_id": pa.int64(), "tag": pa.int64(), "start": pa.int64(), "end": pa.int64(), "key": pa.binary(), "meta": pa.int64(), "open": pa.int64()}
+        for out in partition(raw, doc, tag, meta, part > 0):
             n = len(out["doc_id"])
-            columns = [pa.array(out[f.name], f.type) if f.name in out else pa.nulls(n, f.type) for f in schema]
-            whole = pa.RecordBatch.from_arrays(columns, schema=schema)
             for a in range(0, n, 100_000):
-                yield whole.slice(a, 100_000)
+                some = slice(a, a + 100_000)
+                columns = [pa.array(out[c][some], t) if c in out else pa.nulls(min(n - a, 100_000), t) for c, t in names.items()]
+                yield pa.RecordBatch.from_arrays(columns, names=list(names))
 
     return run
 
 
 def _explode_windows(params: SuffixParams):
-    """mapInArrow: suffixes next to a boundary to those of their windows that no smaller document of the partition covers."""
+    """mapInArrow: suffixes of hot grams to those of their windows that no smaller document of the partition covers."""
     width = (2 * params.window - params.gram + 7) // 8 * 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, len(whole), 5000):
                 b = whole.slice(a, 5000)
-                meta = b.column("meta").to_numpy()
-                tag, right, left, pos = _parts(meta)
-                raw = _matrix(b.column("key").to_pylist(), width)
-                row, place, bytes_ = _window_rows(_contexts(raw, right, left), right, left, params.window)
-                still = np.flatnonzero((b.column("open").to_numpy()[row] >> place) & 1)
-                row, place, bytes_ = row[still], place[still], bytes_[still]
+                right, left, pos = _parts(b.column("meta").to_numpy())
+                context = _contexts(_matrix(b.column("key").to_pylist(), width), right, left)
+                row, place = np.nonzero((b.column("open").to_numpy()[:, None] >> np.arange(63)) & 1)
+                bytes_ = _windows(context[row], place, params.window)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "bytes": [x[: params.window].tobytes() for x in bytes_],
                         "offset": (left[row] - place).astype(np.int64),
                         "doc_id": b.column("doc_id").to_numpy()[row],
-                        "tag": tag[row],
+                        "tag": b.column("tag").to_numpy()[row],
                         "start": (pos - left)[row] + place,
                     }
                 )
@@ -395,39 +454,62 @@ def suffix_dedup(docs: DataFrame, params: SuffixParams = SuffixParams(), keep_te
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (and kept) of every row of docs(doc_id, text)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = rows.withColumn("sha", F.sha2("text", 256))
+    plain = materialise(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "sha"), "suffix-base")
     # the tag tells rows apart that repeat a doc_id with another text
-    tagged = rows.withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 16)))
-    base = materialise(
-        tagged.select("doc_id", "tag", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")),
-        "suffix-base",
-    )
+    again = plain.where("doc_id is not null").groupBy("doc_id").agg(F.min("sha").alias("a"), F.max("sha").alias("b")).where("a <> b")
+    if again.limit(1).count():
+        several = plain.join(again.select("doc_id"), "doc_id", "left_semi").select("doc_id", "sha").distinct()
+        tags = several.withColumn("tag", F.row_number().over(W.partitionBy("doc_id").orderBy("sha")).cast("long"))
+        tags = materialise(tags, "suffix-tags")
+        tell = lambda df: df.join(tags, ["doc_id", "sha"], "left").withColumn("tag", F.coalesce("tag", F.lit(0)).cast("long"))
+    else:
+        tell = lambda df: df.withColumn("tag", F.lit(0).cast("long"))
+    base, tagged = tell(plain), tell(rows)
     long_enough = base.where((F.col("n_bytes") >= params.window) & F.col("doc_id").isNotNull())
     first = long_enough.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("most"))
     copied = first.where("first < most").select("sha", "first")
-    total = base.agg(F.sum("n_bytes")).first()[0] or 0
+    n_rows, total = plain.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
     bits = 8
     while (total // 17) >> bits > params.bucket_rows and bits < 40:
         bits += 1
-    # repeated rows of one id and text count once
-    sampled = rows.mapInArrow(_sample(params, bits), "bucket long, blob binary")
-    grams = sampled.groupBy("bucket").applyInPandas(_shared(bits), "doc_id long, gram long")
-    copies = long_enough.join(copied, "sha").where("doc_id > first").select("doc_id", "tag").distinct()
-    lists = grams.groupBy("doc_id").agg(F.collect_list("gram").alias("grams"))
+    sampled = materialise(
+        rows.select("doc_id", "text").mapInArrow(_sample(params, bits), "bucket long, blob binary, doc_id long, grams array<long>"),
+        "suffix-sample",
+    )
+    met = materialise(
+        sampled.where("blob is not null").groupBy("bucket").applyInPandas(
+            _shared(bits, params.partition_rows), "doc_id long, gram long, n long"
+        ),
+        "suffix-grams",
+    )
+    # at most one in partition_rows of the grams is hot
+    loud = met.where("n > 0").select("gram", "n").toPandas()
+    loud = loud.assign(gram=loud["gram"].to_numpy(np.int64).view(U)).sort_values("gram")
+    parts_of = -(-loud["n"].to_numpy(np.int64) // params.partition_rows)
+    hot = docs.sparkSession.sparkContext.broadcast((loud["gram"].to_numpy(U), parts_of))
+    copies = salted_join(long_enough, copied, "sha", total=n_rows).where("doc_id > first").select("doc_id", "tag").distinct()
+    of_tasks = sampled.where("grams is not null").select("doc_id", "grams")
+    of_buckets = met.where("n = 0").groupBy("doc_id").agg(F.collect_list("gram").alias("grams"))
+    lists = of_tasks.unionByName(of_buckets).groupBy("doc_id").agg(F.flatten(F.collect_list("grams")).alias("grams"))
     searched = long_enough.select("doc_id", "tag").distinct().join(copies, ["doc_id", "tag"], "left_anti")
     lists = searched.join(lists, "doc_id")
     # what comes back for repeated rows is the same; one of them is enough
     found = _zipped(tagged.where("doc_id is not null")).join(lists, ["doc_id", "tag"])
     suffixes = materialise(
-        found.select("doc_id", "tag", "z", "grams").mapInArrow(_suffixes(params), "key binary, doc_id long, meta long"), "suffixes"
+        found.select("doc_id", "tag", "z", "grams").mapInArrow(
+            _suffixes(params, hot), "lead binary, part long, key binary, doc_id long, tag long, meta long"
+        ),
+        "suffixes",
     )
     parts = max(12, -(-suffixes.count() // params.partition_rows))
     compared = materialise(
-        suffixes.repartitionByRange(parts, "key", "doc_id").mapInArrow(
+        suffixes.repartitionByRange(parts, "lead", "part").mapInArrow(
             _compare(params), "doc_id long, tag long, start long, end long, key binary, meta long, open long"
         ),
         "suffix-compared",
     )
-    windows = compared.where("key is not null").select("doc_id", "key", "meta", "open").mapInArrow(
+    windows = compared.where("key is not null").select("doc_id", "tag", "key", "meta", "open").mapInArrow(
         _explode_windows(params), "bytes binary, offset long, doc_id long, tag long, start long"
     )
     least = windows.groupBy("bytes", "offset").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))

@@ -77,3 +77,24 @@ def test_multikey_quicksort():
     last = rng.integers(0, 50, 500)
     order = sd.multikey_quicksort(tokens, last)
     assert [(*tokens[i], last[i]) for i in order] == sorted((*t, x) for t, x in zip(tokens, last))
+
+
+def test_many_texts_under_one_id(spark):
+    """Rows that repeat an id are told apart by their whole texts."""
+    rng = random.Random(6)
+    prose = lambda n: " ".join("".join(rng.choice("aeioutns") for _ in range(5)) for _ in range(n))
+    shared = prose(30)
+    rows = [(9, f"{prose(4)} {shared} {i}", 1) for i in range(400)] + [(1, shared, 1), (9, prose(20), 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag int")
+    out = sd.suffix_dedup(docs).collect()
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out), key=str)
+    assert got == [r[:5] for r in brute(rows, 50)]
+
+
+def test_very_long_text(spark):
+    rng = random.Random(7)
+    long_one = " ".join("".join(rng.choice("aeioutns") for _ in range(6)) for _ in range(60_000))
+    rows = [(1, long_one[1000:3000], 1), (2, long_one, 1), (3, long_one[:200_000] + "x" + long_one[200_000:], 1)]
+    out = sd.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out), key=str)
+    assert got == [r[:5] for r in brute(rows, 50)]
