@@ -61,7 +61,7 @@ class SuffixParams:
 
 
 def _packed(hashes: np.ndarray, docs: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
-    """(bucket, blob) of grams sorted by hash: how many, then hashes, documents and how many documents each stands for."""
+    """(bucket, blob) of grams sorted by hash: how many, then hashes, documents and how many suffixes each stands for."""
     bucket = (hashes >> U(64 - bits)).astype(np.int64)
     starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     blobs = []
@@ -114,22 +114,24 @@ def _sample(params: SuffixParams, bits: int):
         seen: dict[bytes, int] = {}
         found: list[np.ndarray] = []
         docs: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            gram, doc = np.concatenate(found), np.concatenate(docs)
-            found.clear()
-            docs.clear()
+            gram, doc, times = (np.concatenate(x) for x in (found, docs, counts))
+            for x in (found, docs, counts):
+                x.clear()
             order = np.lexsort((doc, gram))
-            gram, doc = gram[order], doc[order]
+            gram, doc, times = gram[order], doc[order], times[order]
+            total = np.add.reduceat(times, np.flatnonzero(_runs(gram)[0]))
             fresh, _ = _runs(gram, doc)
             gram, doc = gram[fresh], doc[fresh]
             new, of = _runs(gram)
             size = np.bincount(of)
             ends = np.concatenate([new[1:], [True]])
-            # the first of a gram's documents stands for all but the last
+            # the first of a gram's documents stands for the suffixes of all, but for one of the last's
             send = new | ends
-            packed = _packed(gram[send], doc[send], np.where(new, np.maximum(size[of] - 1, 1), 1)[send], bits)
+            packed = _packed(gram[send], doc[send], np.where(new, total[of] - (size[of] > 1), 1)[send], bits)
             yield pa.RecordBatch.from_arrays(
                 [*packed.columns, pa.nulls(len(packed), pa.int64()), pa.nulls(len(packed), pa.list_(pa.int64()))], names=names
             )
@@ -154,9 +156,10 @@ def _sample(params: SuffixParams, bits: int):
                     continue
                 if len(seen) < 500_000:  # forgetting only costs work
                     seen[key] = doc
-                h = np.unique(_bytes.minimizers(text, params.window, params.gram)[1])
+                h, times = np.unique(_bytes.minimizers(text, params.window, params.gram)[1], return_counts=True)
                 found.append(h)
                 docs.append(np.full(len(h), doc, np.int64))
+                counts.append(times)
                 held += len(h)
                 if held > 2_000_000:
                     yield from flush()
@@ -169,7 +172,7 @@ def _sample(params: SuffixParams, bits: int):
 
 def _shared(bits: int, hot_from: int):
     """applyInPandas: the grams of a bucket that two documents or more have, with those documents not yet told by their
-    tasks; and (n instead of doc_id) the grams of at least hot_from documents."""
+    tasks; and (n instead of doc_id) the shared grams of at least hot_from suffixes."""
 
     def run(bucket: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpacked(b, int(n), bits) for n, b in zip(bucket["bucket"], bucket["blob"])]
@@ -183,10 +186,11 @@ def _shared(bits: int, hot_from: int):
         total = np.add.reduceat(count, starts) if len(starts) else np.empty(0, np.int64)
         fresh, _ = _runs(gram, doc)
         keep = shared & fresh
-        hot = starts[total >= hot_from]
+        loud = (total >= hot_from) & (doc[starts] != doc[ends])
+        hot = starts[loud]
         told = pd.DataFrame({"doc_id": doc[keep], "gram": gram[keep].view(np.int64), "n": np.zeros(keep.sum(), np.int64)})
-        loud = pd.DataFrame({"doc_id": np.full(len(hot), -1), "gram": gram[hot].view(np.int64), "n": total[total >= hot_from]})
-        return pd.concat([told, loud])
+        many = pd.DataFrame({"doc_id": np.full(len(hot), -1), "gram": gram[hot].view(np.int64), "n": total[loud]})
+        return pd.concat([told, many])
 
     return run
 
