@@ -82,10 +82,13 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", t
     """many joined to one (few rows a key) on `key`, with no key in one task whatever its share of many's rows.
 
     A key is hot if it has at least one in 100 000 rows, and 1000 at least: so there are at most 100 000 hot keys, which
-    are broadcast. The rows of a hot key are dealt over salts, and its row of `one` is copied to each of them. many is
-    read three times and had better be a written table. Null keys match nothing.
+    are broadcast. The rows of a hot key are dealt over salts, and its row of `one` is copied to each of them. Up to
+    100 000 rows, which one task can hold, are joined as they are. many is read three times and had better be a written
+    table. Null keys match nothing.
     """
     total = many.count() if total is None else total
+    if total <= 100_000:
+        return many.join(one, key, how)
     least = max(1000, total // 100_000)
     hot = many.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least)
     hot = F.broadcast(hot.select("__key", F.expr(f"(__n + {least - 1}) div {least}").alias("__salts")))

@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star steps.
 
 Every step is a grouped minimum (combined on the map side) that goes back to the edges. Nodes with many edges are told by
-the same aggregate: there are at most 100 000 of them, as each has at least one in 100 000 of the edges, so their minima
-are broadcast and their edges stay where they are; the edges of all other nodes are joined by a shuffle. Each round is
+the same aggregate: there are at most 200 000 of them, as each has at least one in 100 000 of the edges, so their minima
+are broadcast and their edges stay where they are; the edges of all other nodes are joined by a shuffle. Under a million
+edges, which one task could hold, all are. Each round is
 written to the shared folder, with a checksum gathered as it is written; the driver sees that one row a round.
 """
 
@@ -27,6 +28,8 @@ def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
 def _with_least(edges: DataFrame, n: int) -> DataFrame:
     """Edges (u, v) with m, the smallest of u and its neighbours among these edges."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+    if n < 1_000_000:
+        return edges.join(least.select("u", "m"), "u")
     hubs = F.broadcast(least.where(F.col("n") >= max(1000, n // 100_000)).select("u", F.col("m").alias("hub")))
     told = edges.join(hubs, "u", "left")
     known = told.where("hub is not null").select("u", "v", F.col("hub").alias("m"))

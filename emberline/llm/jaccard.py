@@ -475,13 +475,14 @@ def _verify(p: JaccardParams):
 
 def _verified(docs: DataFrame, pairs: DataFrame, p: JaccardParams) -> DataFrame:
     """The pairs (a, b) of a written table that reach the threshold, as a written table."""
+    count = pairs.count()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    side = F.broadcast(wanted) if wanted.limit(p.broadcast_ids + 1).count() <= p.broadcast_ids else wanted
+    side = F.broadcast(wanted) if 2 * count <= p.broadcast_ids else wanted
     texts = zipped(docs.join(side, "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("text")), "text")
     texts = materialise(texts.where("text is not null"), "jaccard-texts")
     at = lambda end, text: texts.select(F.col("doc_id").alias(end), F.col("text").alias(text))
-    one = salted_join(pairs.select("a", "b"), at("a", "x"), "a")
-    both = salted_join(materialise(one, "jaccard-half"), at("b", "y"), "b")
+    one = salted_join(pairs.select("a", "b"), at("a", "x"), "a", total=count)
+    both = salted_join(materialise(one, "jaccard-half"), at("b", "y"), "b", total=count)
     links = both.select("a", "b", "x", "y").mapInArrow(_verify(p), "a long, b long")
     return materialise(links.distinct(), "jaccard-links")
 
