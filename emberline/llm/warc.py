@@ -13,8 +13,11 @@ Payloads that hold the magic are put together again from their pieces.
 
 Defined cases: null html is an empty payload; null url gives no target header; control and non-ASCII bytes of a url are
 percent-encoded in the header; rows that repeat a page are written each; a null page_id is written without an id, is
-always a response and is read back as null; an empty table gives no archive and an empty result; a chain that breaks
-(damaged file) ends at the last sound record; other columns of pages are not carried.
+always a response and is read back as null; an empty table gives no archive and an empty result; a payload of any length
+is written and read whole; a record counts only if a blank line pair stands behind its block, so a chain that breaks
+(damaged file) ends at the last sound record, and broken_chains tells where; a payload that doesn't have the digest its
+header tells is returned with digest_ok false; versions 1.0 and 1.1 are read, ids of other archives as record_id; other
+columns of pages are not carried.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ from pyspark.sql import Window as W
 from ._common import materialise, unzipped, zipped
 
 #: Fixed values of the format.
-MAGIC = "WARC/1.1\r\n"
+MAGIC = "WARC/1."
+VERSION = "1\r\n"
 BLANK = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -70,7 +74,7 @@ def write_warc(pages: DataFrame, path: str, params: WarcParams = WarcParams()) -
     again = F.col("keeper").isNotNull()
     name = lambda i: F.concat(F.lit("<urn:page:"), i.cast("string"), F.lit(">"))
     record = F.concat(
-        F.lit(MAGIC),
+        F.lit(MAGIC + VERSION),
         _line("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.lit("response"))),
         _line("WARC-Record-ID", name(F.col("page_id"))),
         _line("WARC-Date", F.lit(params.date)),
@@ -101,10 +105,12 @@ def segments(spark: SparkSession, path: str, keep_payload: bool = False) -> Data
     field = lambda n, p=r"([^\r\n]*)": F.regexp_extract("head", rf"(?i)(?:^|\r\n){n}:[ \t]*{p}[ \t]*(?:\r\n|$)", 1)
     out = raw.withColumn("head", head).withColumn("size", F.octet_length("value").cast("long"))
     out = out.withColumn("head_size", F.octet_length("head").cast("long"))
-    length = F.when(F.col("head_size") < F.col("size"), F.try_to_number(field("Content-Length", r"(\d{1,18})"), F.lit("9" * 18)).cast("long"))
+    versioned = F.col("head").rlike(r"^[01]\r\n")
+    length = F.when(versioned & (F.col("head_size") < F.col("size")), F.try_to_number(field("Content-Length", r"(\d{1,18})"), F.lit("9" * 18)).cast("long"))
     out = out.withColumn("length", length)
     body = F.col("size") - F.col("head_size") - F.lit(4)
-    out = out.withColumn("whole", F.coalesce(body == F.col("length") + 4, F.lit(False)))
+    out = out.withColumn("closes", F.endswith("value", F.lit(BLANK)))
+    out = out.withColumn("whole", F.coalesce((body == F.col("length") + 4) & F.col("closes"), F.lit(False)))
     payload = F.substring(F.col("value").cast("binary"), F.col("head_size").cast("int") + 5, F.col("length").cast("int"))
     out = out.withColumn("payload", F.when(F.col("whole"), payload))
     columns = [
@@ -115,6 +121,8 @@ def segments(spark: SparkSession, path: str, keep_payload: bool = False) -> Data
         "head_size",
         "length",
         "whole",
+        "closes",
+        field("WARC-Record-ID").alias("record_id"),
         F.lower(field("WARC-Type")).alias("record_type"),
         F.try_to_number(field("WARC-Record-ID", r"<urn:page:(-?\d{1,19})>"), F.lit("S" + "9" * 19)).cast("long").alias("page_id"),
         F.try_to_number(field("WARC-Refers-To", r"<urn:page:(-?\d{1,19})>"), F.lit("S" + "9" * 19)).cast("long").alias("refers_to"),
@@ -220,14 +228,36 @@ def _joined(spark: SparkSession, path: str, placed: DataFrame, real: DataFrame,
     return got.select("file", F.col("of.start").alias("at"), F.expr("substring(body, 1, cast(of.length as int))").alias("payload"))
 
 
+def _chained(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The candidates whose block ends in a blank line pair, and (file, at) of those that the chain reaches."""
+    candidates = placed.where("next is not null")
+    parted = candidates.where("not whole")
+    if parted.limit(1).count():  # the pair has to end the segment before the successor
+        step = F.col("at") + F.col("size") + F.lit(len(MAGIC))
+        ends = placed.where("closes").select("file", step.alias("next")).distinct()
+        candidates = candidates.where("whole").unionByName(parted.join(ends, ["file", "next"], "left_semi").select(*candidates.columns))
+    return candidates, materialise(reachable(candidates.select("file", "block", "at", "next")), "warc-records")
+
+
+def broken_chains(spark: SparkSession, path: str) -> DataFrame:
+    """(file, sound_until, size) of the files below path whose chain of records ends before the file does."""
+    placed = _placed(segments(spark, path))
+    candidates, real = _chained(placed)
+    sizes = placed.groupBy("file").agg(F.max(F.col("at") + F.col("size") + F.lit(len(MAGIC))).alias("size"))
+    ends = candidates.join(real, ["file", "at"]).groupBy("file").agg(F.max("next").alias("sound_until"))
+    out = sizes.join(ends, "file", "left").select("file", F.coalesce("sound_until", F.lit(0)).alias("sound_until"), "size")
+    return out.where("sound_until < size and size > 0")
+
+
 def read_warc(spark: SparkSession, path: str, keep_payload: bool = False) -> DataFrame:
-    """page_id, url, record_type, payload_bytes, payload_digest, refers_to (and payload) of every record below path.
+    """page_id, record_id, url, record_type, payload_bytes, payload_digest, digest_ok, refers_to (and payload) of every
+    record below path.
 
-    Digest and length of a response are those of the payload as read; a revisit has none and tells them in its header.
+    Digest and length of a response are those of the payload as read, and digest_ok compares the digest with the
+    header's; a revisit has none and tells them in its header.
     """
     placed = _placed(segments(spark, path, keep_payload))
-    candidates = placed.where("next is not null")
-    real = materialise(reachable(candidates.select("file", "block", "at", "next")), "warc-records")
+    candidates, real = _chained(placed)
     records = candidates.join(real, ["file", "at"])
     whole = records.where("whole")
     broken = records.where("not whole")
@@ -239,10 +269,12 @@ def read_warc(spark: SparkSession, path: str, keep_payload: bool = False) -> Dat
     again = F.col("record_type") == "revisit"
     return whole.select(
         "page_id",
+        "record_id",
         F.when(F.col("url") != "", F.col("url")).alias("url"),
         "record_type",
         F.when(again, F.col("told_length")).otherwise(F.col("length")).alias("payload_bytes"),
         F.when(again, F.lower("told_digest")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        F.when(~again & (F.col("told_digest") != ""), F.lower("told_digest") == F.col("payload_digest")).alias("digest_ok"),
         F.when(again, F.col("refers_to")).alias("refers_to"),
         *(["payload"] if keep_payload else []),
     )

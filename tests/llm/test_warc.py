@@ -69,5 +69,33 @@ def test_broken_chain_ends_at_the_last_sound_record(spark, tmp_path):
     good = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"
     (tmp_path / "w").mkdir()
     (tmp_path / "w/a.warc").write_bytes((good + good.replace("Length: 2", "Length: 1").replace(":1>", ":2>") + good).encode())
-    out = warc.read_warc(spark, f"file://{tmp_path}/w").collect()
-    assert [r.page_id for r in out if r.page_id == 1] == [1]
+    path = f"file://{tmp_path}/w"
+    assert [r.page_id for r in warc.read_warc(spark, path).collect()] == [1]
+    (told,) = warc.broken_chains(spark, path).collect()
+    assert (told.sound_until, told.size) == (len(good), 3 * len(good))
+
+
+def test_digests_are_compared_and_older_versions_read(spark, tmp_path):
+    def record(version, digest):
+        return f"WARC/{version}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{digest[:4]}>\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"
+
+    real = hashlib.sha1(b"ok").hexdigest()
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w/a.warc").write_bytes((record("1.0", real.upper()) + record("1.1", "0" * 40) + record("1.0", "?")).encode())
+    path = f"file://{tmp_path}/w"
+    out = {r.record_id: (r.page_id, r.payload_digest, r.digest_ok) for r in warc.read_warc(spark, path).collect()}
+    assert out == {
+        f"<urn:uuid:{real.upper()[:4]}>": (None, real, True),
+        "<urn:uuid:0000>": (None, real, False),
+        "<urn:uuid:?>": (None, real, None),
+    }
+    assert warc.broken_chains(spark, path).count() == 0
+
+
+def test_very_long_payload(spark, tmp_path):
+    text = "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" + "0123456789" * 300_000
+    path = f"file://{tmp_path}/w"
+    warc.write_warc(spark.createDataFrame([(1, "u", text, "h"), (2, "u", text, "h")], SCHEMA), path)
+    out = {r.page_id: r for r in warc.read_warc(spark, path).collect()}
+    assert (out[2].record_type, out[2].payload_bytes, out[2].digest_ok) == ("response", len(text), True)
+    assert (out[1].refers_to, out[1].payload_digest) == (2, hashlib.sha1(text.encode()).hexdigest())
