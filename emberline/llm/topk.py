@@ -9,8 +9,9 @@ best per query, from which the k best of all are taken.
 
 Query blocks meet index blocks pair by pair; neither side is broadcast, and a task holds one of each.
 
-Defined cases: vectors that are null, empty, hold null or non-finite components, or components beyond 2^27 once
-quantised (whose scores might not fit a long), take no part; only vectors of the same length meet; rows equal in id and
+Defined cases: vectors that are null or hold null or non-finite components take no part, and so do rows without an id;
+empty vectors score 0 with one another; components beyond 2^61 once quantised count as 2^61, and scores that don't fit a
+long as the nearest long; only vectors of the same length meet; rows equal in id and
 vector count once, and a query's own rows are all those with its id; with fewer than k other rows all are returned; ties
 go to the smaller id; an empty table gives an empty result.
 """
@@ -39,13 +40,12 @@ class TopKParams:
 
 def quantise(vectors: DataFrame, params: TopKParams, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(vec_id, q): the integer vectors that take part."""
-    x = F.transform(F.col(vec_col), lambda v: F.floor(F.lit(params.scale) * v.cast("double")))
-    fine = F.forall(
-        F.col(vec_col),
-        lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(F.lit(params.scale) * v.cast("double")) < float(1 << 27)),
-    )
-    ok = F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & fine & F.col(id_col).isNotNull()
-    return vectors.where(F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda v: v.cast("int")).alias("q"))
+    most = float(1 << 61)
+    scaled = lambda v: F.lit(params.scale) * v.cast("double")
+    q = F.transform(F.col(vec_col), lambda v: F.floor(F.greatest(F.least(scaled(v), F.lit(most)), F.lit(-most))).cast("long"))
+    fine = F.forall(F.col(vec_col), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
+    ok = F.col(vec_col).isNotNull() & fine & F.col(id_col).isNotNull()
+    return vectors.where(F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), q.alias("q"))
 
 
 class SlicedBlock:
@@ -135,20 +135,20 @@ class SlicedBlock:
         rows = self._rows(sure)
         if left:
             rows = np.concatenate([rows, self._rows(open_rows)[:left]])
-        score = np.full(len(rows), constant, np.int64)
         word, bit = rows >> 6, (rows & 63).astype(np.uint64)
+        wide = len(sums) > 61 or abs(constant) >> 61
+        score = np.full(len(rows), constant, object if wide else np.int64)
         for p, s in enumerate(sums):
-            score += ((s[word] >> bit) & np.uint64(1)).astype(np.int64) << p
+            ones = ((s[word] >> bit) & np.uint64(1)).astype(np.int64)
+            score += ones.astype(object) * (1 << p) if wide else ones << p
+        if wide:
+            score = np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in score], np.int64)
         return self.ids[rows], score
 
     def _rows(self, bitmap: np.ndarray) -> np.ndarray:
         return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
 
-def _unpack(blobs: pd.Series, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), "<i4").reshape(-1, dim)
-
-
 def top_k(vectors: DataFrame, queries: DataFrame, params: TopKParams = TopKParams()) -> DataFrame:
     """(query_id, rank, vec_id, score). vectors and queries: (vec_id, q), as quantise gives them."""
     vectors, queries = vectors.distinct(), queries.distinct()
@@ -167,10 +167,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, params: TopKParams = TopKParam
     def search(index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(index) and len(asked):
-            block = SlicedBlock(index["vec_id"].to_numpy(np.int64), np.array(index["q"].tolist(), np.int64))
+            block = SlicedBlock(index["vec_id"].to_numpy(np.int64), np.array(index["q"].tolist(), np.int64).reshape(len(index), -1))
             for number, (own, q) in enumerate(zip(asked["vec_id"], asked["q"])):
-                ids, scores = block.top(np.asarray(q), int(own), k)
-                out.append(pd.DataFrame({"query_id": int(own), "q": [np.asarray(q, np.int32).tobytes()] * len(ids), "vec_id": ids, "score": scores}))
+                ids, scores = block.top(np.asarray(q, np.int64), int(own), k)
+                out.append(pd.DataFrame({"query_id": int(own), "q": [np.asarray(q, np.int64).tobytes()] * len(ids), "vec_id": ids, "score": scores}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "q": [], "vec_id": [], "score": []})
 
     keys = ["block", "part", "dim"]

@@ -7,7 +7,7 @@ from emberline.llm import topk
 def brute(rows, params, is_query):
     vs = {}
     for i, v in rows:
-        if i is None or not v or any(x is None or not math.isfinite(x) for x in v):
+        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
         vs[(i, tuple(math.floor(params.scale * x) for x in v))] = None
     out = []
@@ -30,11 +30,19 @@ def test_against_brute_force(spark):
     rows = [(i, [round(random.gauss(0, 0.3) * 8) / 8 for _ in range(6)]) for i in range(300)]
     rows += [(1000 + i, rows[7][1]) for i in range(40)]
     rows += [(2000, None), (2005, []), (2010, [1.0, None]), (2015, [float("nan")] * 6), (2020, [float("inf")] * 6)]
-    rows += [(2025, [1.0, -2.0]), (2030, [3.0, 0.5]), (2035, [0.0] * 6), rows[10], (None, rows[3][1])]
+    rows += [(2040, []), (2041, []), (2025, [1.0, -2.0]), (2030, [3.0, 0.5]), (2035, [0.0] * 6), rows[10], (None, rows[3][1])]
     for params in (topk.TopKParams(k=7, block_rows=64, query_rows=50), topk.TopKParams(k=20)):
         assert run(spark, [(*r, 0) for r in rows], params) == brute(rows, params, lambda i: i % 5 == 0)
 
 
+def test_large_components_stay(spark):
+    rows = [(0, [3.0e6, 1.0]), (1, [2.0**40, -1.0]), (2, [-(2.0**45), 0.0]), (3, [0.5, 2.0**52]), (5, [1.0, 1.0]), (10, [0.0, 2.0**40])]
+    params = topk.TopKParams(k=4)
+    want = [(q, r, v, min(max(s, -(1 << 63)), (1 << 63) - 1)) for q, r, v, s in brute(rows, params, lambda i: i % 5 == 0)]
+    assert run(spark, [(*r, 0) for r in rows], params) == want
+    assert run(spark, [(0, [1e30, 1.0], 0), (1, [0.0, 2.0], 0)], params) == [(0, 1, 1, 64 * 128)]
+
+
 def test_fewer_rows_than_k_and_empty(spark):
     params = topk.TopKParams(k=20)
     assert run(spark, [(0, [1.0], 0), (1, [2.0], 0), (2, [-1.0], 0)], params) == [(0, 1, 1, 64 * 128), (0, 2, 2, -64 * 64)]
