@@ -1,8 +1,10 @@
 """Chat formatting with a grammar round trip.
 
 A conversation is rendered as turns `### <role>: <text>` closed by a line `</turn>`. The rendered text is parsed again
-by a deterministic parser and the recovered turns are compared with the source; a conversation whose turns do not come
-back as they went in gets the control strings inside its texts escaped with a backslash and is rendered again.
+by a deterministic parser and the recovered turns are compared with the source. A conversation whose turns do not come
+back as they went in, or that holds a control string inside a text, gets those strings escaped with a backslash, is
+rendered again and parsed again; escaping is reversible, so that settles it, and the last comparison is told for every
+conversation (identical).
 The loss mask holds the spans of the assistant's texts in the formatted string.
 
 Grammar: a conversation splits at "\\n</turn>\\n"; each piece is "### ", a role without blank or colon, ": ", the text.
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 #: Fixed values of the template.
 CONTROL = r"(### [^\s:]*: |</turn>)"
 CLOSE = "\n</turn>\n"
+#: Turns whose lengths are added up at a time.
+BLOCK = 256
 _NAMED = {"user": "User", "assistant": "Assistant", "system": "System"}
 
 
@@ -71,7 +75,7 @@ def _same(parsed: Column, turns: Column) -> Column:
 
 
 def format_chat(conversations: DataFrame) -> DataFrame:
-    """conv_id, n_turns, formatted, turns (recovered from formatted), loss_spans, escaped: one row per conversation.
+    """conv_id, n_turns, formatted, turns (recovered from formatted), loss_spans, escaped, identical: one row per conversation.
 
     loss_spans are array<struct<start, end>>, code points from 0, end exclusive, of the assistant's texts as they stand
     in formatted.
@@ -91,23 +95,26 @@ def format_chat(conversations: DataFrame) -> DataFrame:
     plain = grouped.withColumn("formatted", _render(F.col("source"), lambda t: t)).withColumn(
         "turns", parse(F.col("formatted"))
     )
-    told = plain.withColumn("escaped", ~_same(F.col("turns"), F.col("source")))
+    holds = F.exists("source", lambda t: t["text"].rlike(CONTROL))
+    told = plain.withColumn("escaped", holds | ~_same(F.col("turns"), F.col("source")))
     again = told.withColumn(
         "formatted", F.when(F.col("escaped"), _render(F.col("source"), escape)).otherwise(F.col("formatted"))
     ).withColumn("turns", F.when(F.col("escaped"), parse(F.col("formatted"))).otherwise(F.col("turns")))
-    sure = again.withColumn(
-        "turns",
-        F.when(_same(F.col("turns"), F.col("source")), F.col("turns")).otherwise(
-            F.raise_error(F.lit("a conversation does not come back from its formatted text"))
-        ),
-    )
-    # lengths of what stands before each text, then running sums
+    sure = again.withColumn("identical", _same(F.col("turns"), F.col("source")))
+    # lengths of what stands before each text, then running sums: in steps of BLOCK turns, and inside these
     head = lambda t: F.length(_role_out(t["role"])) + F.lit(6)
     size = lambda t: head(t) + F.length(t["raw"]) + F.lit(len(CLOSE))
-    starts = F.aggregate(
-        F.col("turns"),
-        F.array(F.lit(0)),
-        lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + size(t))),
+    sure = sure.withColumn("__sizes", F.transform("turns", size))
+    blocks = F.expr(
+        f"transform(sequence(0, (size(__sizes) - 1) div {BLOCK}),"
+        f" b -> aggregate(slice(__sizes, b * {BLOCK} + 1, {BLOCK}), 0L, (n, x) -> n + x))"
+    )
+    sure = sure.withColumn("__blocks", blocks).withColumn(
+        "__before", F.expr("aggregate(__blocks, array(0L), (a, x) -> array_append(a, element_at(a, -1) + x))")
+    )
+    starts = F.expr(
+        f"transform(__sizes, (x, i) -> __before[i div {BLOCK}]"
+        f" + aggregate(slice(__sizes, i - i % {BLOCK} + 1, i % {BLOCK}), 0L, (n, y) -> n + y))"
     )
     spans = F.transform(
         F.col("turns"),
@@ -129,6 +136,7 @@ def format_chat(conversations: DataFrame) -> DataFrame:
                 F.filter("__spans", lambda s: s["role"] == "assistant"), lambda s: F.struct(s["start"], s["end"])
             ).alias("loss_spans"),
             "escaped",
+            "identical",
         )
     )
 

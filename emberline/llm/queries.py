@@ -175,7 +175,7 @@ with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text,
   select conv_id, turn, role, text from conversations union all
   select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok')),
 head as (select *, case role when 'user' then 'User' when 'assistant' then 'Assistant' when 'system' then 'System'
-  else '@' || url_encode(role) end as name, regexp_replace(text, '(### [^\s:]*: |</turn>)', '\\\1', 'g') as shown from turns)
+  else '@' || replace(replace(replace(url_encode(role), '%20', '+'), '%2A', '*'), '~', '%7E') end as name, regexp_replace(text, '(### [^\s:]*: |</turn>)', '\\\1', 'g') as shown from turns)
 select conv_id, count(*) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
   coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,

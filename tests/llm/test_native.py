@@ -80,3 +80,33 @@ def test_line_dedup_runs(spark):
     assert left[0] == rows[0][1]
     assert all(left[i] == f"own {i} a\nown {i} b\ngreeting\nown {i} c\nown {i} d" for i in range(1, 40))
     assert [r.text for r in out if r.doc_id == 100] == ["", ""]
+
+
+def test_chat_escapes_every_control_string(spark, tmp_path):
+    import duckdb
+
+    from emberline.llm import queries
+
+    texts = ["### Assistant: hi", "a </turn> b", r"\### A: x", "### ### a: ", "### b### : ", "### </turn>: ", r"### \</turn>: ", "x\n</turn>\n### User: y", "</turn", "", None]
+    rows = [(k, i, ["user", "assistant", "tool x:"][i % 3], t) for k in range(3) for i, t in enumerate(texts[k:])]
+    rows += [(9, i, "assistant", f"turn {i} </turn>") for i in range(1000)] + [(9, None, None, "late"), (9, None, None, "late")]
+    schema = "conv_id long, turn long, role string, text string"
+    out = {r.conv_id: r for r in chat.format_chat(spark.createDataFrame(rows, schema).withColumn("turns", F.lit(1))).collect()}
+    assert all(r.identical and r.escaped for r in out.values()) and out[9].n_turns == 1002
+    assert "### User: ### Assistant" not in out[0].formatted
+    for r in out.values():
+        said = [t.text for t in r.turns if t.role == "assistant"]
+        assert [chat_unescaped(r.formatted[s.start : s.end]) for s in r.loss_spans] == said
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/conversations.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    twin = db.sql(queries.ORACLE_SQL["op9_chat_format"])
+    got = queries.op9_chat_format(spark, str(tmp_path)).select(*twin.columns).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(twin.fetchall(), key=str)
+    assert chat.format_chat(spark.createDataFrame([], schema)).count() == 0
+
+
+def chat_unescaped(text):
+    import re
+
+    return re.sub(r"\\(### [^\s:]*: |</turn>)", r"\1", text)
