@@ -32,6 +32,12 @@ def _packed(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(F.struct(*docs.columns).alias("__row"), *names)
 
 
+def _mixed(docs: DataFrame) -> DataFrame:
+    """The mixed rows, packed but for the text."""
+    rest = [c for c in docs.columns if c != "text"]
+    return mixing.mix(docs.select(F.struct(*rest).alias("__row"), "source", "doc_id", "text"), MIX)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     measured = quality.measured_table(_packed(docs, "text", "lang", "source"))
     return quality.judge(measured, quality.thresholds(quality.sketch(measured))).where("kept").select("__row.*")
@@ -52,13 +58,12 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(_packed(docs, "source", "doc_id"), MIX).select("__row.*")
+    return _mixed(docs).select(*[F.col(c if c == "text" else f"__row.{c}") for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    placed = mixing.mix(_packed(docs, "source", "doc_id"), MIX)
-    rest = [f"__row.{c}" for c in docs.columns if c.lower() not in PLACE]
-    return bpe.encode_decode(placed.select(*rest, *PLACE), bpe_params(), keep_ids=True).drop("decoded")
+    rest = [f"__row.{c}" for c in docs.columns if c.lower() not in (*PLACE, "text")]
+    return bpe.encode_decode(_mixed(docs).select(*rest, "text", *PLACE), bpe_params(), keep_ids=True).drop("decoded")
 
 
 STAGES = [

@@ -32,9 +32,9 @@ class BpeParams:
     #: tokenizer package is installed
     ranks: str
     pattern: str
-    batch_chars: int = 8_000_000
+    batch_chars: int = 2_000_000
     long_piece: int = 200
-    remembered: int = 300_000
+    remembered: int = 100_000
 
 
 ENCODE = """

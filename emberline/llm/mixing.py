@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ._common import unzipped, zipped
+
 
 @dataclass(frozen=True)
 class MixParams:
@@ -164,11 +166,15 @@ def _keys(docs: DataFrame) -> list[Column]:
 
 def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """The rows of docs in mixed order, with the columns of ADDED."""
+    carried = docs.schema
+    packed = "text" in docs.columns and carried["text"].dataType.typeName() == "string"
     place = positions(docs, params)
+    docs = zipped(docs, "text") if packed else docs  # whole rows cross two shuffles
     place = place.select(*_keys(place), F.col("copy").alias("__copy"), *[F.col(c).alias(f"__{c}") for c in ADDED])
     copy = F.row_number().over(W.partitionBy("__s", "__d").orderBy("__h")) - F.lit(1)
     rows = docs.select("*", *_keys(docs), F.xxhash64(*docs.columns).alias("__h")).withColumn("__copy", copy.cast("long"))
     out = rows.join(place, ["__s", "__d", "__copy"])
     order = ["__cycle", "__slot", "__offset"]
     out = out.repartitionByRange(*order).sortWithinPartitions(*order)
+    out = unzipped(out, "text") if packed else out
     return out.withColumns({c: F.col(f"__{c}") for c in ADDED}).drop("__s", "__d", "__h", "__copy", *[f"__{c}" for c in ADDED])
