@@ -134,13 +134,13 @@ def affinities(v: Views) -> DataFrame:
 
 
 @query("a11_side_rollup", """select type_id, is_buy, round(case when is_buy then max(price) else min(price) end, 2)::double as best,
-round(case when sum(remain) = 0 then case when is_buy then max(price) else min(price) end else sum((price * remain)::decimal(38,2)) / sum(remain) end, 4)::double as vwap,
+case when sum(remain) = 0 then (case when is_buy then max(price) else min(price) end)::double else sum((price * remain)::decimal(38,2))::double / sum(remain)::double end as vwap,
 sum(remain)::bigint as volume, count(*) as orders from mkt group by type_id, is_buy""")
 def side_rollup(v: Views) -> DataFrame:
     best = F.when(F.col("is_buy"), F.max("price")).otherwise(F.min("price"))
     worth = F.sum((F.col("price") * F.col("remain")).cast("decimal(38,2)")).cast("double")
     vwap = F.when(F.sum("remain") == 0, best.cast("double")).otherwise(worth / F.sum("remain"))
-    return v.market.groupBy("type_id", "is_buy").agg(best.cast("double").alias("best"), F.round(vwap, 4).alias("vwap"), F.sum("remain").alias("volume"), count().alias("orders"))
+    return v.market.groupBy("type_id", "is_buy").agg(best.cast("double").alias("best"), vwap.alias("vwap"), F.sum("remain").alias("volume"), count().alias("orders"))
 
 
 @query("a15_core_modules", """o as (select actor_id, count(distinct event_id) as obs from att group by all),
@@ -161,17 +161,18 @@ def core_modules(v: Views, cutoff: float = 0.80) -> DataFrame:
     )
 
 
-@query("a19_baseline", """e as (select actor_id, event_id, sum(isk)::double as x from att group by all),
+@query("a19_baseline", """e as (select actor_id, event_id, sum(isk)::decimal(30,2) as x from att group by all),
 r as (select *, row_number() over (partition by actor_id order by x) - 1 as i, count(*) over (partition by actor_id) as n from e),
 s as (select *, 9 * (n - 1) // 10 + (case when 9 * (n - 1) % 10 > 5 or (9 * (n - 1) % 10 = 5 and 9 * (n - 1) // 10 % 2 = 1) then 1 else 0 end) as at90 from r)
-select actor_id, any_value(n) as n, round(median(x), 4) as med, max(x) filter (where i = at90) as p90, round(avg(x), 4) as mean, round(stddev_pop(x), 4) as dev
+select actor_id, any_value(n) as n, round(median(x::double), 4) as med, max(x::double) filter (where i = at90) as p90, sum(x)::double / count(*) as mean, round(stddev_pop(x::double), 3) as dev
 from s group by actor_id having any_value(n) >= 10""")
 def baseline(v: Views, least: int = 10) -> DataFrame:
-    per = v.actors.groupBy("actor_id", "event_id").agg(F.sum("isk").cast("double").alias("x"))
-    sorted_ = F.sort_array(F.collect_list("x"))
-    out = per.groupBy("actor_id").agg(count().alias("n"), F.median("x").alias("m"), S.nearest_rank(sorted_, 0.9).alias("p90"), F.avg("x").alias("a"), F.stddev_pop("x").alias("d"))
-    r = lambda c: F.round(c, 4)
-    return out.where(F.col("n") >= least).select("actor_id", "n", r("m").alias("med"), "p90", r("a").alias("mean"), r("d").alias("dev"))
+    per = v.actors.groupBy("actor_id", "event_id").agg(F.sum("isk").cast("decimal(30,2)").alias("x"))
+    x = F.col("x").cast("double")
+    ranked = S.nearest_rank(F.sort_array(F.collect_list(x)), 0.9)
+    mean = F.sum("x").cast("double") / count()
+    out = per.groupBy("actor_id").agg(count().alias("n"), F.round(F.median(x), 4).alias("med"), ranked.alias("p90"), mean.alias("mean"), F.round(F.stddev_pop(x), 3).alias("dev"))
+    return out.where(F.col("n") >= least)
 
 
 @query("a21_mode", """select actor_id, type_group as mode, n as votes from (select *, row_number() over (partition by actor_id order by n desc, type_group) as rn
