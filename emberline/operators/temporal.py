@@ -88,8 +88,9 @@ def next_within(starts: DataFrame, ends: DataFrame, key: str, start_at: str, end
     both = starts.select(F.col(key), F.col(start_at).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast("timestamp").alias("__e")).unionByName(
         ends.select(F.col(key), F.col(end_at).alias("__t"), F.lit(2).alias("__side"), F.col(end_at).alias("__e"))
     )
-    ahead = W.partitionBy(key).orderBy("__t", "__side").rowsBetween(1, W.unboundedFollowing)
-    out = both.withColumn("next_at", F.first("__e", ignorenulls=True).over(ahead)).where("__side = 1")
+    # backwards in time, so that the frame grows at one end only
+    ahead = W.partitionBy(key).orderBy(F.desc("__t"), F.desc("__side")).rowsBetween(W.unboundedPreceding, -1)
+    out = both.withColumn("next_at", F.last("__e", ignorenulls=True).over(ahead)).where("__side = 1")
     wait = seconds(F.col("next_at")) - seconds(F.col("__t"))
     ok = wait <= limit_seconds
     return out.select(

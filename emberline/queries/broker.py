@@ -119,7 +119,7 @@ def triangle_counts(v: Views) -> DataFrame:
     return triangles(v.links)
 
 
-@query("g15_catchments", """arcs as (select a, b from links where (a + b) % 7 = 0 union select b, a from links where (a + b) % 7 = 0),
+@query("g15_catchments", """arcs as (select a, b from links union select b, a from links),
 walk as (select h as id, h as hub, 0 as jumps from (values (5::bigint), (17), (60)) t(h)
   union select arcs.b, hub, jumps + 1 from walk join arcs on arcs.a = walk.id where jumps < 8)
 select id, hub, jumps from (select *, row_number() over (partition by id order by jumps, hub) as rn from walk) where rn = 1""")
@@ -128,7 +128,7 @@ def nearest_hubs(v: Views) -> DataFrame:
     return catchments(v.links, hubs)
 
 
-@query("g17_depths", """arcs as (select a, b from links where (a + b) % 7 = 0 union select b, a from links where (a + b) % 7 = 0),
+@query("g17_depths", """arcs as (select a, b from links union select b, a from links),
 walk as (select h as id, 0 as hops from (values (5::bigint), (17)) t(h) union select arcs.b, hops + 1 from walk join arcs on arcs.a = walk.id where hops < 8)
 select id, min(hops) as hops from walk group by id""")
 def depths(v: Views) -> DataFrame:
