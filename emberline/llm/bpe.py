@@ -34,7 +34,9 @@ class BpeParams:
     pattern: str
     batch_chars: int = 2_000_000
     long_piece: int = 200
-    remembered: int = 100_000
+    remembered: int = 40_000
+    #: pieces contracted by one query
+    query_pieces: int = 20_000
 
 
 ENCODE = """
@@ -101,7 +103,7 @@ class Codec:
             for i in range(1, len(t))
             if t[:i] in self.ranks and t[i:] in self.ranks
         ]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         left, right, merged = (pa.array(x, pa.int32()) for x in zip(*rows))
         merges = pa.table({"l": left, "r": right, "m": merged})  # noqa: F841
         vocabulary = pa.table(  # noqa: F841
@@ -154,10 +156,10 @@ class Codec:
                 fresh[p] = whole.to_bytes(4, "little")
             else:
                 (long_ones if len(b) > self.params.long_piece else short).append(p)
-        if short:
-            fresh |= self._contract(ENCODE, short)
-        if long_ones:
-            fresh |= self._contract(ENCODE_LONG, long_ones)
+        size = self.params.query_pieces
+        for query, some in ((ENCODE, short), (ENCODE_LONG, long_ones)):
+            for a in range(0, len(some), size):
+                fresh |= self._contract(query, some[a : a + size])
         known.update(fresh)
         runs = [r for r in {*fresh.values()} if r not in self.decoded]
         if runs:

@@ -102,7 +102,7 @@ def _local_counts(p: JaccardParams):
             for s in _bytes.shingles(_raw(batch.column("text")), p.words):
                 held.append(s)
                 size += len(s)
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield flush()
                 held, size = [], 0
         if size:
@@ -249,7 +249,7 @@ def _postings(p: JaccardParams, bits: int, heavy):
                     small = np.concatenate(small).astype(np.uint32) | (salts > 1).astype(np.uint32) << 1
                     held.append((key, same(doc), same(n), np.concatenate(pos), small, salts))
                     size += len(key)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield flush()
                 held, size = [], 0
         if held:
