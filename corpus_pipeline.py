@@ -32,10 +32,10 @@ def _packed(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(F.struct(*docs.columns).alias("__row"), *names)
 
 
-def _mixed(docs: DataFrame) -> DataFrame:
+def _mixed(docs: DataFrame, keep_zipped: bool = False) -> DataFrame:
     """The mixed rows, packed but for the text."""
     rest = [c for c in docs.columns if c != "text"]
-    return mixing.mix(docs.select(F.struct(*rest).alias("__row"), "source", "doc_id", "text"), MIX)
+    return mixing.mix(docs.select(F.struct(*rest).alias("__row"), "source", "doc_id", "text"), MIX, keep_zipped)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +63,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rest = [f"__row.{c}" for c in docs.columns if c.lower() not in (*PLACE, "text")]
-    return bpe.encode_decode(_mixed(docs).select(*rest, "text", *PLACE), bpe_params(), keep_ids=True).drop("decoded")
+    mixed = _mixed(docs, keep_zipped=True).select(*rest, "text", *PLACE)
+    return bpe.encode_decode(mixed, bpe_params(), keep_ids=True, zipped=True, keep_bytes=False)
 
 
 STAGES = [

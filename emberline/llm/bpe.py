@@ -184,17 +184,18 @@ class Codec:
             self.decoded = {ids: b for ids, b in self.decoded.items() if ids in kept}
 
 
-def _row(codec: Codec, words: list[str], want_ids: bool) -> tuple:
+def _row(codec: Codec, words: list[str], want_ids: bool, want_bytes: bool) -> tuple:
     runs = list(map(codec.ids.__getitem__, words))
     ids = b"".join(runs)
     back = b"".join(map(codec.decoded.__getitem__, runs))
-    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest(), ids if want_ids else None, back
+    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest(), ids if want_ids else None, back if want_bytes else None
 
 
-def encode_decode(docs: DataFrame, params: BpeParams, keep_ids: bool = False) -> DataFrame:
-    """All columns of docs but text, plus n_tokens, ids_sha256 and decoded_sha256, and with keep_ids token_ids and decoded.
+def encode_decode(docs: DataFrame, params: BpeParams, keep_ids: bool = False, zipped: bool = False, keep_bytes: bool = True) -> DataFrame:
+    """All columns of docs but text, plus n_tokens, ids_sha256 and decoded_sha256, and with keep_ids token_ids and,
+    unless keep_bytes is off, decoded.
 
-    Added columns replace columns of the same name.
+    Added columns replace columns of the same name. zipped: text is zstd-compressed UTF-8, read as it is encoded.
     """
     added = [
         T.StructField("n_tokens", T.LongType()),
@@ -202,15 +203,18 @@ def encode_decode(docs: DataFrame, params: BpeParams, keep_ids: bool = False) ->
         T.StructField("decoded_sha256", T.StringType()),
     ]
     if keep_ids:
-        added += [T.StructField("token_ids", T.ArrayType(T.LongType())), T.StructField("decoded", T.BinaryType())]
+        added += [T.StructField("token_ids", T.ArrayType(T.LongType()))]
+        added += [T.StructField("decoded", T.BinaryType())] if keep_bytes else []
     taken = {"text"} | {f.name.lower() for f in added}
     carried = [c for c in docs.columns if c.lower() not in taken]
     schema = T.StructType([docs.schema[c] for c in carried] + added)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
+        import zstandard
 
         codec = Codec.of(params)
+        unzip = zstandard.ZstdDecompressor().decompress
 
         def flush(part: pa.RecordBatch, words: list[list[str]]) -> pa.RecordBatch:
             codec.forget()
@@ -218,7 +222,7 @@ def encode_decode(docs: DataFrame, params: BpeParams, keep_ids: bool = False) ->
             for w in words:
                 pieces.update(w)
             codec.learn(pieces)
-            rows = [_row(codec, w, keep_ids) for w in words]
+            rows = [_row(codec, w, keep_ids, keep_ids and keep_bytes) for w in words]
             columns = [part.column(c) for c in carried] + [
                 pa.array([r[0] for r in rows], pa.int64()),
                 pa.array([r[1] for r in rows], pa.string()),
@@ -226,7 +230,8 @@ def encode_decode(docs: DataFrame, params: BpeParams, keep_ids: bool = False) ->
             ]
             if keep_ids:
                 columns.append(pa.array([np.frombuffer(r[3], "<u4").astype(np.int64) for r in rows], pa.list_(pa.int64())))
-                columns.append(pa.array([r[4] for r in rows], pa.binary()))
+                if keep_bytes:
+                    columns.append(pa.array([r[4] for r in rows], pa.binary()))
             return pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
         for batch in batches:
@@ -235,6 +240,8 @@ def encode_decode(docs: DataFrame, params: BpeParams, keep_ids: bool = False) ->
             start = chars = 0
             for i in range(len(texts)):
                 text = texts[i].as_py() or ""
+                if zipped and text:
+                    text = unzip(text).decode()
                 words.append(codec.split(text))
                 chars += len(text)
                 if chars >= params.batch_chars:

@@ -164,8 +164,11 @@ def _keys(docs: DataFrame) -> list[Column]:
     return [told("source").alias("__s"), told("doc_id").alias("__d")]
 
 
-def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
-    """The rows of docs in mixed order, with the columns of ADDED."""
+def mix(docs: DataFrame, params: MixParams = MixParams(), keep_zipped: bool = False) -> DataFrame:
+    """The rows of docs in mixed order, with the columns of ADDED.
+
+    With keep_zipped a text column comes back as it crossed the shuffles, zstd-compressed.
+    """
     carried = docs.schema
     packed = "text" in docs.columns and carried["text"].dataType.typeName() == "string"
     place = positions(docs, params)
@@ -176,5 +179,5 @@ def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     out = rows.join(place, ["__s", "__d", "__copy"])
     order = ["__cycle", "__slot", "__offset"]
     out = out.repartitionByRange(*order).sortWithinPartitions(*order)
-    out = unzipped(out, "text") if packed else out
+    out = unzipped(out, "text") if packed and not keep_zipped else out
     return out.withColumns({c: F.col(f"__{c}") for c in ADDED}).drop("__s", "__d", "__h", "__copy", *[f"__{c}" for c in ADDED])
