@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLE_SQL, QUERIES
 
-MODULES = ("broker", "core", "temporal", "market", "signals", "intel", "rollups")
+MODULES = ("broker", "core", "temporal", "market", "signals", "intel", "rollups", "battles")
 
 
 def load():
