@@ -320,3 +320,75 @@ def similar(rows: DataFrame, features: Sequence[str], top: int = 100, cutoff: fl
     sides = [unit.select("id", "z", F.lit(asks).alias("asks"), F.col("own" if asks else "other").alias("q"), F.col("other" if asks else "own").alias("c")) for asks in (True, False)]
     found = sides[0].unionByName(sides[1]).groupBy("q", "c").applyInPandas(_near(top, cutoff), "id long, peer long, score double")
     return found.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "peer"))).where(F.col("rank") <= top)
+
+
+def fingerprints(rows: DataFrame, least: int = 2, camp_days: int = 3) -> DataFrame:
+    """Style of those who appear at least twice: the highest of six ratios, if it is 0.3 or more.
+
+    rows: (who, place, at, incident, escalated, disengaged, bait, big_logi, fast), one an appearance, flags being booleans.
+    """
+    gap = F.unix_timestamp("at") - F.lag(F.unix_timestamp("at")).over(W.partitionBy("who", "place").orderBy("at"))
+    rows = rows.withColumn("camp", F.col("place").isNotNull() & F.coalesce(gap <= camp_days * 86400, F.lit(False)))
+    flags = ("escalated", "disengaged", "bait", "big_logi", "fast", "camp")
+    per = rows.groupBy("who").agg(_count().alias("n"), F.countDistinct("incident").alias("incidents"), *[F.count_if(f).alias(f) for f in flags]).where(F.col("n") >= least)
+    some, n = F.greatest(F.lit(1), F.col("incidents")), F.col("n")
+    ratios = {
+        "rapid_escalator": F.col("escalated") / some, "heavy_logi_anchor": F.col("big_logi") / n, "conservative_disengager": F.col("disengaged") / some,
+        "bait_specialist": F.col("bait") / some, "corridor_camper": F.col("camp") / (n - 1), "fast_responder": F.col("fast") / n,
+    }
+    per = per.withColumns({name: F.least(F.lit(1.0), r) for name, r in ratios.items()}).withColumn("top", F.greatest(*ratios))
+    style = first_rule(
+        [(F.col("top") >= 0.3, first_rule([(F.col(r) == F.col("top"), r) for r in ratios], "")), (n >= 5, "generalist")],
+        "undetermined",
+    )
+    score = F.when(F.col("top") >= 0.3, F.col("top")).otherwise(0.0)
+    return per.select("who", "n", "incidents", *ratios, style.alias("style"), score.alias("score"), ladder(n, ((30, "high"), (10, "medium"), (4, "low")), "insufficient").alias("confidence"))
+
+
+def sides(pilots: DataFrame, kills: DataFrame, allegiance: DataFrame | None = None, least: int = 3) -> DataFrame:
+    """(battle, who, side) of parties: A has most pilots, B of those on the field met A most often in kills; the others join
+    the side that their kills and losses, or else earlier allegiances, support at least three times and more than twice as often.
+
+    pilots: (battle, who, n); kills: (battle, killer, victim, n) between different parties; allegiance: (who, other, allied,
+    opposed). Ties go to the smaller id; a battle without a B gives nothing; who can't be told is C.
+    """
+    a = pilots.groupBy("battle").agg(F.max(F.struct("n", (-F.col("who")).alias("w"))).alias("x")).select("battle", (-F.col("x.w")).alias("a"))
+    ends = F.explode(F.array(F.struct(F.col("killer").alias("who"), F.col("victim").alias("other")), F.struct(F.col("victim").alias("who"), F.col("killer").alias("other"))))
+    met = kills.where("killer <> victim").select("battle", ends.alias("e"), "n").select("battle", "e.*", "n").groupBy("battle", "who", "other").agg(F.sum("n").alias("n"))
+    field = pilots.select("battle", "who")
+    foes = met.join(a, "battle").where("other = a and who <> a").join(field, ["battle", "who"], "left_semi")
+    b = foes.groupBy("battle", "a").agg(F.max(F.struct("n", (-F.col("who")).alias("w"))).alias("x")).select("battle", "a", (-F.col("x.w")).alias("b"))
+    # met counts kills of each by the other, so what was against B supports A
+    every = field.unionByName(met.select("battle", "who")).distinct().join(b, "battle")
+    against = lambda end: F.sum(F.when(F.col("other") == F.col(end), F.col("n")).otherwise(0))
+    told = every.join(met, ["battle", "who"], "left").groupBy("battle", "who", "a", "b").agg(against("b").alias("for_a"), against("a").alias("for_b"))
+    clear = lambda x, y: (F.col(x) >= least) & (F.col(x) > 2 * F.col(y))
+    rules = [(F.expr("who = a"), "A"), (F.expr("who = b"), "B"), (clear("for_a", "for_b"), "A"), (clear("for_b", "for_a"), "B")]
+    if allegiance is not None:
+        of = lambda end, p: allegiance.select("who", F.col("other").alias(end), F.col("allied").alias(f"{p}ally"), F.col("opposed").alias(f"{p}opp"))
+        told = told.join(of("a", "a_"), ["who", "a"], "left").join(of("b", "b_"), ["who", "b"], "left").join(field.withColumn("on_field", F.lit(True)), ["battle", "who"], "left")
+        told = told.fillna(0, ["a_ally", "a_opp", "b_ally", "b_opp"]).withColumns({"was_a": F.col("a_ally") + F.col("b_opp"), "was_b": F.col("b_ally") + F.col("a_opp")})
+        rules += [(F.col("on_field") & clear("was_a", "was_b"), "A"), (F.col("on_field") & clear("was_b", "was_a"), "B")]
+    return told.select("battle", "who", first_rule(rules, "C").alias("side"))
+
+
+def sell_advice(rows: DataFrame, runway_days: int = 14) -> DataFrame:
+    """rows (type_id, listings, sell_listings, rate, listing_days, units_sold, daily_fill, regional_volume, open_units, age_days)
+    with velocity, confidence, band and the quantity to list: a runway of the daily fill, or of a twentieth of the region's
+    volume, less what is listed already."""
+    days, n, rate = F.col("listing_days"), F.col("listings"), F.col("rate")
+    velocity = F.when(days < 7, "fast").when(days <= 21, "medium").when(days.isNotNull(), "slow")
+    age = F.greatest(F.lit(0), F.col("age_days"))
+    recent = F.when(age <= 7, 1.0).when(age <= 30, 0.7).when(age <= 60, 0.4).otherwise(0.2)
+    sure = 0.4 * F.least(F.lit(1.0), n / 10) + 0.4 * F.least(F.lit(1.0), F.col("units_sold") / 200) + 0.2 * recent
+    band = first_rule(
+        [
+            ((n < 1) & (F.col("sell_listings") >= 1), "observing"), ((n < 1) | rate.isNull(), "low_data"), ((rate >= 0.7) & (n < 2), "test_more"),
+            ((rate >= 0.7) & (F.col("velocity") == "slow"), "slow_capital"), (rate >= 0.7, "stock_more"), ((rate <= 0.3) & (n >= 2), "reduce"),
+        ],
+        "hold",
+    )
+    fill = F.when(F.col("daily_fill") > 0, F.col("daily_fill")).when(F.col("regional_volume") > 0, F.col("regional_volume") * 0.05)
+    wanted = F.ceil(fill * runway_days) - F.coalesce("open_units", F.lit(0))
+    out = rows.withColumns({"velocity": velocity, "sure": sure}).withColumns({"band": band, "confidence": ladder(F.round("sure", 9), ((0.7, "high"), (0.4, "medium")), "low")})
+    return out.withColumn("quantity", F.when(F.col("band").isin("stock_more", "test_more", "slow_capital") & (wanted > 0), wanted))

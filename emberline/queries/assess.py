@@ -136,6 +136,8 @@ def route_classes(v: Views) -> DataFrame:
 
 
 KINDS = tuple(P.SIGNAL_WEIGHTS)
+#: Fixed value: days of sales that a listing should last.
+RUNWAY = 14
 
 
 @query("d25_hypotheses", f"""k as (select unnest({list(KINDS)}) as kind, unnest({list(P.SIGNAL_WEIGHTS.values())})::double as weight, unnest(range(11)) as i),
@@ -228,3 +230,57 @@ def headers(v: Views) -> DataFrame:
     started = F.when(F.col("event_id") % 2 == 0, "Session Started: 2024.01.02 03:04:05").otherwise("-----")
     says = [F.concat(F.lit("  Listener:  P "), "actor_id"), started, F.concat(F.lit("channel name: C"), "system_id"), F.lit("[ 2024.01.02 03:04:06 ] A > hi"), F.lit("Listener: other"), F.lit("Channel ID: late")]
     return lines.headers(v.log.select(F.col("event_id").alias("id"), F.concat_ws("\r\n", *says).alias("body")))
+
+
+@query("a26_fingerprints", """r as (select actor_id as who, event_id, system_id, kind, value, floor(epoch(seen))::bigint - lag(floor(epoch(seen))::bigint) over (partition by actor_id, system_id order by seen) as gap from lg where actor_id is not null),
+c as (select who, count(*) as n, count(distinct event_id) as incidents, count(*) filter (where kind = 'combat') as es, count(*) filter (where kind = 'notify') as di, count(*) filter (where value > 90) as ba,
+  count(*) filter (where kind = 'fleet_message') as lo, count(*) filter (where event_id % 3 = 0) as fa, count(*) filter (where system_id is not null and gap <= 259200) as ca from r group by who having count(*) >= 2),
+s as (select who, n, incidents, es / incidents as rapid_escalator, lo / n as heavy_logi_anchor, di / incidents as conservative_disengager, ba / incidents as bait_specialist, least(1, ca / (n - 1)) as corridor_camper, fa / n as fast_responder from c),
+t as (select *, greatest(rapid_escalator, heavy_logi_anchor, conservative_disengager, bait_specialist, corridor_camper, fast_responder) as top from s)
+select who, n, incidents, round(top, 8) as top, case when top >= 0.3e0 then case top when rapid_escalator then 'rapid_escalator' when heavy_logi_anchor then 'heavy_logi_anchor' when conservative_disengager then 'conservative_disengager'
+  when bait_specialist then 'bait_specialist' when corridor_camper then 'corridor_camper' else 'fast_responder' end when n >= 5 then 'generalist' else 'undetermined' end as style,
+case when n >= 30 then 'high' when n >= 10 then 'medium' when n >= 4 then 'low' else 'insufficient' end as confidence from t""")
+def fingerprints(v: Views) -> DataFrame:
+    of = lambda kind: F.col("kind") == kind
+    rows = v.log.where("actor_id is not null").select(
+        F.col("actor_id").alias("who"), F.col("system_id").alias("place"), "at", F.col("event_id").alias("incident"), of("combat").alias("escalated"), of("notify").alias("disengaged"),
+        (F.col("value") > 90).alias("bait"), of("fleet_message").alias("big_logi"), (F.col("event_id") % 3 == 0).alias("fast"),
+    )
+    out = P.fingerprints(rows)
+    styles = ("rapid_escalator", "heavy_logi_anchor", "conservative_disengager", "bait_specialist", "corridor_camper", "fast_responder")
+    return out.select("who", "n", "incidents", F.round(F.greatest(*styles), 8).alias("top"), "style", "confidence")
+
+
+@query("g20_sides", """e as (select event_id, killed_at::date as battle, victim_id, alliance_id as vic_all from ev join vic using (victim_id)),
+p as (select battle, who, count(distinct id) as n from (select battle, alliance_id as who, actor_id as id from att join aff using (actor_id) join e using (event_id)) group by all),
+k as (select battle, alliance_id as killer, vic_all as victim, count(*) as n from att join aff using (actor_id) join e using (event_id) where alliance_id <> vic_all group by all),
+a as (select battle, who as a from p qualify row_number() over (partition by battle order by n desc, who) = 1),
+m as (select battle, who, other, sum(n) as n from (select battle, killer as who, victim as other, n from k union all select battle, victim, killer, n from k) group by all),
+b as (select battle, a, m.who as b from m join a using (battle) where other = a and (battle, m.who) in (select battle, who from p) qualify row_number() over (partition by battle order by n desc, m.who) = 1),
+x as (select battle, who from p union select battle, who from m),
+f as (select battle, x.who, a, b, coalesce(sum(n) filter (where other = b), 0) as fa, coalesce(sum(n) filter (where other = a), 0) as fb from x join b using (battle) left join m using (battle, who) group by all)
+select battle, who, case when who = a then 'A' when who = b then 'B' when fa >= 3 and fa > 2 * fb then 'A' when fb >= 3 and fb > 2 * fa then 'B' else 'C' end as side from f""")
+def battle_sides(v: Views) -> DataFrame:
+    lost = v.events.join(v.victims, "victim_id").select("event_id", F.to_date("killed_at").alias("battle"), F.col("alliance_id").alias("victim"))
+    there = v.actors.select("event_id", "actor_id").join(v.affiliations, "actor_id").join(lost, "event_id")
+    pilots = there.groupBy("battle", F.col("alliance_id").alias("who")).agg(F.countDistinct("actor_id").alias("n"))
+    kills = there.where("alliance_id <> victim").groupBy("battle", F.col("alliance_id").alias("killer"), "victim").agg(count().alias("n"))
+    return P.sides(pilots, kills)
+
+
+@query("m10_sell_advice", f"""r as (select type_id, type_id % 13 as listings, type_id % 3 as sell_listings, case when type_id % 17 > 0 then type_id % 11 / 10 end as rate, case when type_id % 5 > 0 then type_id % 29 end as days,
+  type_id % 307 as sold, type_id % 4 * 3 as fill, type_id % 100 as region, type_id % 40 as open_, type_id % 90 as age from typ),
+s as (select *, case when days < 7 then 'fast' when days <= 21 then 'medium' when days is not null then 'slow' end as velocity,
+  round(0.4e0 * least(1, listings / 10) + 0.4e0 * least(1, sold / 200) + 0.2e0 * case when age <= 7 then 1 when age <= 30 then 0.7e0 when age <= 60 then 0.4e0 else 0.2e0 end, 9) as sure from r),
+b as (select *, case when listings < 1 and sell_listings >= 1 then 'observing' when listings < 1 or rate is null then 'low_data' when rate >= 0.7e0 and listings < 2 then 'test_more' when rate >= 0.7e0 and velocity = 'slow' then 'slow_capital'
+  when rate >= 0.7e0 then 'stock_more' when rate <= 0.3e0 and listings >= 2 then 'reduce' else 'hold' end as band,
+  ceil((case when fill > 0 then fill when region > 0 then region * 0.05e0 end) * {RUNWAY})::bigint - open_ as wanted from s)
+select type_id, velocity, case when sure >= 0.7e0 then 'high' when sure >= 0.4e0 then 'medium' else 'low' end as confidence, band,
+case when band in ('stock_more', 'test_more', 'slow_capital') and wanted > 0 then wanted end as quantity from b""")
+def sell_advice(v: Views) -> DataFrame:
+    t = F.col("type_id")
+    rows = v.types.select(
+        "type_id", (t % 13).alias("listings"), (t % 3).alias("sell_listings"), F.when(t % 17 > 0, (t % 11) / 10).alias("rate"), F.when(t % 5 > 0, t % 29).alias("listing_days"), (t % 307).alias("units_sold"),
+        (t % 4 * 3).alias("daily_fill"), (t % 100).alias("regional_volume"), (t % 40).alias("open_units"), (t % 90).alias("age_days"),
+    )
+    return P.sell_advice(rows, RUNWAY).select("type_id", "velocity", "confidence", "band", "quantity")
