@@ -6,7 +6,7 @@ from pathlib import Path
 def test_operators_without_code_are_listed_as_not_built():
     readme = (Path(__file__).parent.parent / "README.md").read_text()
     built, missing = readme.split("Not built yet:")
-    for name in ("G5", "G7", "D8", "D14", "M4", "D17", "A16"):
+    for name in ("G5", "G7", "D8", "D3", "M1", "M12", "D20", "A24", "A36", "G22"):
         family, n = name[0], int(name[1:])
         spans = [p.strip(" ,.\n").split("-") for p in missing.split("## ")[0].replace(" and ", ", ").replace(" ", ",").replace("\n", ",").split(",")]
         listed = any(p[0][:1] == family and p[0][1:].isdigit() and int(p[0][1:]) <= n <= int(p[-1].lstrip(family)) for p in spans if p[-1].lstrip(family).isdigit())
