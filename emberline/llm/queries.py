@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, line_dedup, mixing, quality, suffix_dedup, topk, url_filter, warc
+from . import bpe, chat, jaccard, line_dedup, mixing, quality, suffix_dedup, topk, url_filter, warc, whitening
 from ._common import new_path, read
 
 #: Target weights of the production mix; sources without one weigh 1.
@@ -91,6 +91,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = whitening.quantise(read(spark, sf_dir, "embeddings"))
+    out = whitening.whiten(x, whitening.fit_whitening(x))
+    parts = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "part")
+    return out.select("vec_id", "n", "deviation", "identity_error", parts).select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "part.whitened", "part.explained", "identity_error"
+    )
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_warc": op2_warc,
@@ -102,6 +111,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_chat_format": op9_chat_format,
     "op10_quality_rules": op10_quality_rules,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL = {
