@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, line_dedup, mixing, quality, suffix_dedup, topk, url_filter, warc, whitening
+from . import bpe, chat, jaccard, line_dedup, mixing, quality, repair, suffix_dedup, topk, url_filter, warc, whitening
 from ._common import new_path, read
 
 #: Target weights of the production mix; sources without one weigh 1.
@@ -91,6 +91,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repair.repair_conversations(repair.damage(read(spark, sf_dir, "conversations")))
+    return out.select("conv_id", *repair.STATS, "audit", "repaired_sha256")
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = whitening.quantise(read(spark, sf_dir, "embeddings"))
     out = whitening.whiten(x, whitening.fit_whitening(x))
@@ -111,6 +116,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_chat_format": op9_chat_format,
     "op10_quality_rules": op10_quality_rules,
+    "op12_repair": op12_repair,
     "op13_whitening": op13_whitening,
 }
 
