@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, jaccard, line_dedup, mixing, quality, repair, suffix_dedup, topk, url_filter, warc, whitening
+from . import twins
 from ._common import new_path, read
 
 #: Target weights of the production mix; sources without one weigh 1.
@@ -233,4 +234,5 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   coalesce(not base_failed and symbol_rate <= s and dup_line_rate <= d and repeat_rate <= p
     and mean_word_len <= hi and mean_word_len >= lo, false) as kept
 from rate left join fence on rate.lang is not distinct from fence.lang and rate.source is not distinct from fence.source""",
+    "op12_repair": twins.OP12,
 }
