@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, line_dedup, mixing, quality, repair, suffix_dedup, topk, url_filter, warc, whitening
+from . import bpe, chat, jaccard, line_dedup, mixing, pii, quality, repair, suffix_dedup, topk, url_filter, warc, whitening
 from . import twins
 from ._common import new_path, read
 
@@ -92,6 +92,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.sanitise(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [f"n_{k}" for k in pii.PATTERNS]
+    return out.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repair.repair_conversations(repair.damage(read(spark, sf_dir, "conversations")))
     return out.select("conv_id", *repair.STATS, "audit", "repaired_sha256")
@@ -117,6 +123,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_chat_format": op9_chat_format,
     "op10_quality_rules": op10_quality_rules,
+    "op11_pii": op11_pii,
     "op12_repair": op12_repair,
     "op13_whitening": op13_whitening,
 }
