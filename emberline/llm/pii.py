@@ -112,7 +112,9 @@ def _pieces(df: DataFrame, name: str, pattern: str, needs: str | None = None) ->
     # columns stay outside of lambda functions, or they could be computed anew for each element
     whole = F.arrays_zip(F.col(m).alias("value"), starts.alias("start"), left.alias("left"), right.alias("right"))
     empty = F.array().cast("array<struct<value:string,start:bigint,left:string,right:string>>")
-    return df.withColumn(f"__p_{name}", F.when(F.size(m) > 0, whole).otherwise(empty))
+    # a filter further up must not be pushed below this: it would copy the expressions into one another, lambdas and all
+    stays = F.monotonically_increasing_id() >= 0
+    return df.withColumn(f"__p_{name}", F.when(stays & (F.size(m) > 0), whole).otherwise(empty))
 
 
 def _held(kind: str) -> Column:

@@ -241,5 +241,6 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   coalesce(not base_failed and symbol_rate <= s and dup_line_rate <= d and repeat_rate <= p
     and mean_word_len <= hi and mean_word_len >= lo, false) as kept
 from rate left join fence on rate.lang is not distinct from fence.lang and rate.source is not distinct from fence.source""",
+    "op11_pii": twins.OP11,
     "op12_repair": twins.OP12,
 }
