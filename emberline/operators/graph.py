@@ -21,10 +21,12 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("degree"), F.sum("w").alias("strength"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         if not folder:
             import tempfile
 
@@ -37,13 +39,13 @@ def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, cut_
     """Weighted PageRank of an undirected graph with the un-normalised base 1 - d."""
     arcs = both_ways(edges)
     out = arcs.groupBy("a").agg(F.sum("w").alias("total"))
-    arcs = _cut(arcs.join(out, "a").select("a", "b", (F.col("w") / F.col("total")).alias("p")))
+    arcs = cut(arcs.join(out, "a").select("a", "b", (F.col("w") / F.col("total")).alias("p")))
     rank = out.select(F.col("a").alias("id"), F.lit(1.0 - damping).alias("rank"))
     for i in range(iterations):
         sent = arcs.join(rank, F.col("a") == F.col("id")).groupBy("b").agg(F.sum(F.col("p") * F.col("rank")).alias("s"))
         rank = sent.select(F.col("b").alias("id"), (F.lit(1.0 - damping) + damping * F.col("s")).alias("rank"))
         if (i + 1) % cut_every == 0:
-            rank = _cut(rank)
+            rank = cut(rank)
     return rank
 
 
@@ -56,7 +58,7 @@ def hops(edges: DataFrame, seeds: Sequence[int], most: int) -> DataFrame:
 def _spread(edges: DataFrame, seen: DataFrame, most: int, depth: str) -> DataFrame:
     arcs, front = both_ways(edges.select("a", "b")).distinct(), seen
     for step in range(1, most + 1):
-        front = _cut(
+        front = cut(
             arcs.join(front.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
             .join(seen, "id", "left_anti").withColumn(depth, F.lit(step))
         )
@@ -75,7 +77,7 @@ def shortest_path(edges: DataFrame, start: int, end: int, most: int) -> DataFram
         if not seen.where(F.col("id") == end).isEmpty():
             break
         step = arcs.join(front.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min_by("path", "a").alias("path"))
-        front = _cut(step.join(seen, "id", "left_anti").select("id", F.concat("path", F.array("id")).alias("path")))
+        front = cut(step.join(seen, "id", "left_anti").select("id", F.concat("path", F.array("id")).alias("path")))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -89,7 +91,7 @@ def catchments(edges: DataFrame, hubs: DataFrame, most: int = 30) -> DataFrame:
     front = seen
     for step in range(1, most + 1):
         reached = arcs.join(front.select(F.col("id").alias("a"), "hub"), "a").groupBy(F.col("b").alias("id")).agg(F.min("hub").alias("hub"))
-        front = _cut(reached.join(seen, "id", "left_anti").withColumn("jumps", F.lit(step)))
+        front = cut(reached.join(seen, "id", "left_anti").withColumn("jumps", F.lit(step)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -106,15 +108,3 @@ def triangles(edges: DataFrame) -> DataFrame:
     wedge = e.join(e.select("u", F.col("v").alias("x")), "u").where("v <> x")
     close = wedge.join(e.select(F.col("u").alias("v"), F.col("v").alias("x")), ["v", "x"])
     return close.select(F.explode(F.array("u", "v", "x")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("triangles"))
-
-
-def ranked_communities(members: DataFrame, least: int) -> DataFrame:
-    """(id, partition) from (id, community): communities of at least `least` ranked from 1 by size, then smallest id; the rest is 0.
-
-    Members without a community are alone.
-    """
-    sizes = members.where("community is not null").groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where(F.col("n") >= least)
-    from pyspark.sql import Window as W
-
-    ranked = sizes.select("community", F.row_number().over(W.orderBy(F.desc("n"), "first")).alias("partition"))
-    return members.join(ranked, "community", "left").select("id", F.coalesce("partition", F.lit(0)).alias("partition"))

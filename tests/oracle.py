@@ -39,7 +39,7 @@ if __name__ == "__main__":
     sys.path.insert(0, ".")
     import __spark_entry__ as E
 
-    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.driver.memory", "6g").getOrCreate()
+    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.driver.memory", "6g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("OFF")
     sf, names = sys.argv[1], sys.argv[2:]
     sql = E.oracle_sql()
