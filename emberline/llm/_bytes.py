@@ -1,20 +1,16 @@
-"""Vectorised hashing over the bytes of a batch of texts: word shingles and window minima."""
+"""Hashing over the bytes of texts: word shingles and window minima."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
 
 import numpy as np
 
 U = np.uint64
 #: Odd multipliers; any would do, they only have to stay the same.
-_BASE = U(0x9E3779B97F4A7C15)
-_BASE_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PLACES = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], U)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: words whose hashes are remembered
+_KEPT = 200_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -24,74 +20,38 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class Powers:
-    """Powers of the base and of its inverse, as far as needed."""
+class _Words(dict):
+    """Word to hash: 64 bits of BLAKE2 of its bytes, so that no structure in a word makes it meet another's."""
 
-    def __init__(self):
-        self.up = self.down = np.ones(1, U)
+    def __missing__(self, word: bytes) -> int:
+        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(self) >= _KEPT:
+            self.clear()
+        self[word] = value
+        return value
 
-    def upto(self, n: int) -> None:
-        if len(self.up) < n:
-            for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-                x = np.full(n, base, U)
-                x[0] = 1
-                setattr(self, name, np.cumprod(x))
 
-
-_powers = Powers()
-
-
-def blocks(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about `size` bytes; a longer text stands alone."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        if total and total + len(t) > size:
-            yield start, i
-            start, total = i, 0
-        total += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+_words = _Words()
 
 
 def shingles(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's word shingles; a text of fewer words has one, of all its words."""
     out: list[np.ndarray] = []
-    for a, b in blocks(texts):
-        part = texts[a:b]
-        data = _LOWER[np.frombuffer(b"".join(part), np.uint8)]
-        ends = np.cumsum([len(t) for t in part])
-        if not len(data):
-            out += [np.empty(0, U)] * len(part)
-            continue
-        _powers.upto(len(data) + 1)
-        space = _SPACE[data]
-        edge = np.zeros(len(data) + 1, bool)  # a text starts or ends here
-        edge[ends] = edge[0] = True
-        before = np.concatenate([[True], space[:-1]])
-        start = np.flatnonzero(~space & (before | edge[:-1]))
-        after = np.concatenate([space[1:], [True]])
-        end = np.flatnonzero(~space & (after | edge[1:])) + 1
-        sums = np.concatenate([[U(0)], np.cumsum((data.astype(U) + U(1)) * _powers.up[: len(data)])])
-        words = mixed((sums[end] - sums[start]) * _powers.down[start] + (end - start).astype(U))
-        stops = np.searchsorted(start, ends)
-        long_ones = np.zeros(0, U)
-        if len(words) >= width:
-            n = len(words) - width + 1
+    for text in texts:
+        # lower() and split() of bytes know A-Z and the blanks \x20, \x09-\x0D alone
+        found = text.lower().split()
+        count = len(found)
+        words = np.fromiter(map(_words.__getitem__, found), U, count)
+        if count >= width:
+            n = count - width + 1
             acc = words[:n] * _PLACES[0]
             for j in range(1, width):
                 acc += words[j : n + j] * _PLACES[j % len(_PLACES)]
-            long_ones = mixed(acc)
-        first = 0
-        for stop in stops.tolist():
-            count = stop - first
-            if count >= width:
-                out.append(np.unique(long_ones[first : stop - width + 1]))
-            elif count:
-                whole = (words[first:stop] * _PLACES[:count]).sum(dtype=U) + U(count)
-                out.append(mixed(np.array([whole], U)))
-            else:
-                out.append(np.empty(0, U))
-            first = stop
+            out.append(np.unique(mixed(acc)))
+        elif count:
+            out.append(mixed(np.array([(words * _PLACES[:count]).sum(dtype=U) + U(count)], U)))
+        else:
+            out.append(np.empty(0, U))
     return out
 
 

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from emberline.llm import jaccard
+from emberline.llm import _bytes, jaccard
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -126,3 +126,21 @@ def test_rows_that_repeat_an_id(spark):
 
 def test_empty_table(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_words_that_differ_by_structure_alone(spark):
+    """Thue-Morse words and their complements, which hashes by powers modulo 2^64 can't tell apart."""
+    rows = []
+    for k in (10, 11, 12):
+        word = "a"
+        for _ in range(k):
+            word += word.translate(str.maketrans("ab", "ba"))
+        rows += [(2 * k, word), (2 * k + 1, word.translate(str.maketrans("ab", "ba")))]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i for i, _ in rows}
+
+
+def test_blanks_and_case_of_bytes():
+    one, two, three = _bytes.shingles(["A\x0bb\x0c\tÉ D e".encode(), "a b É d E".encode(), "a b é d e".encode()])
+    assert one.tolist() == two.tolist() != three.tolist()
+    assert [len(x) for x in _bytes.shingles([b"", b" \n", "a\u00a0b\u2003c".encode(), b"a b c d e f"])] == [0, 0, 1, 2]
