@@ -11,6 +11,9 @@ cycle's group holds a row per source, whatever the table's size, and cycles alik
 one schedule in a task. Documents are placed as keys only; a source that holds a third of all rows is numbered in buckets
 and counted out in spans of cycles.
 
+Weights are exact: a cycle is made long enough that each source gets a whole number of blocks in it. A weight must be
+positive and is taken as the nearest fraction with a denominator up to `finest`.
+
 Defined cases: null source is a source; sources without a weight get `default_weight`; rows that repeat a doc_id within
 their source have a place each; null doc_id is one such id; an empty table gives an empty result; the last
 block of a source may be short; columns named like the added ones are replaced, all others pass through.
@@ -25,6 +28,7 @@ from dataclasses import dataclass, field
 from fractions import Fraction
 from functools import lru_cache
 from itertools import accumulate
+from math import lcm
 
 import numpy as np
 import pandas as pd
@@ -39,14 +43,29 @@ from ._common import unzipped, zipped
 class MixParams:
     weights: Mapping[str, float] = field(default_factory=dict)
     default_weight: float = 1.0
-    #: blocks per cycle of a source of weight 1; weights are kept to 1/blocks_per_weight
+    #: blocks per cycle of a source of weight 1, at least; as many as make every source's blocks a whole number
     blocks_per_weight: int = 8
+    #: weights are fractions with denominators up to this, and a cycle may have so many blocks
+    finest: int = 10_000
+    cycle_blocks: int = 1_000_000
     block_rows: int = 16
     seed: int = 7
     #: keys in one bucket of a source, on average
     bucket_rows: int = 20_000
 
 
+    def rates(self) -> tuple[dict[str, int], int]:
+        """Blocks per cycle of each weighted source and of any other, in exact proportion to the weights."""
+        told = {s: Fraction(str(w)).limit_denominator(self.finest) for s, w in [*self.weights.items(), (None, self.default_weight)]}
+        if min(told.values()) <= 0:
+            raise ValueError("weights must be positive; leave the rows of an unwanted source out of the input")
+        scale = lcm(self.blocks_per_weight, *(w.denominator for w in told.values()))
+        rates = {s: int(w * scale) for s, w in told.items()}
+        if sum(rates.values()) > self.cycle_blocks:
+            raise ValueError(f"the weights need cycles of more than {self.cycle_blocks} blocks; give them fewer digits")
+        return {s: r for s, r in rates.items() if s is not None}, rates[None]
+
+
 #: cycles of a source counted out by one row
 SPAN = 1024
 
@@ -135,10 +154,10 @@ def positions(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
         F.expr(f"(base + in_bucket + copy) div {params.block_rows}").alias("source_block"),
         F.pmod(index, F.lit(params.block_rows)).alias("offset"),
     )
-    scale = params.blocks_per_weight
-    rate = F.lit(max(1, round(params.default_weight * scale)))
-    for source, weight in params.weights.items():
-        rate = F.when(F.col("source") == source, F.lit(max(1, round(weight * scale)))).otherwise(rate)
+    rates, other = params.rates()
+    rate = F.lit(other)
+    for source, blocks in rates.items():
+        rate = F.when(F.col("source") == source, F.lit(blocks)).otherwise(rate)
     per_source = keys.groupBy("sid").agg(F.max("source").alias("source"), F.sum("copies").alias("rows"))
     per_source = per_source.withColumn("rate", rate.cast("long")).withColumn(
         "blocks", F.expr(f"(rows + {params.block_rows - 1}) div {params.block_rows}")

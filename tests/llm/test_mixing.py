@@ -1,5 +1,7 @@
 from fractions import Fraction
 
+import pytest
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -85,3 +87,21 @@ def test_positions_against_a_schedule_made_slot_by_slot(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, source string, text string")
     assert mixing.mix(docs).count() == 0
+
+
+@pytest.mark.parametrize("weights, rates", [({"a": 0.01}, {"a": 2}), ({"a": 1 / 3, "b": 0.5}, {"a": 8, "b": 12}), ({"a": Fraction(2, 7)}, {"a": 16}), ({"a": 0.5, "b": 4}, {"a": 4, "b": 32})])
+def test_rates_are_in_exact_proportion(weights, rates):
+    got, other = mixing.MixParams(weights=weights).rates()
+    assert got == rates and all(Fraction(got[s], other) == Fraction(str(w)).limit_denominator(100) for s, w in weights.items())
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.0}, {"a": -1.0}, {"a": 1 / 9973, "b": 1 / 9967}])
+def test_weights_that_cannot_be_kept_are_refused(weights):
+    with pytest.raises(ValueError):
+        mixing.MixParams(weights=weights).rates()
+
+
+def test_small_weight(spark):
+    docs = spark.createDataFrame([(i, "a" if i % 2 else "b", "t") for i in range(1000)], "doc_id long, source string, text string")
+    got = mixing.positions(docs, mixing.MixParams(weights={"a": 0.02}, block_rows=1)).where("cycle = 0").groupBy("source").count().collect()
+    assert {r.source: r["count"] for r in got} == {"a": 4, "b": 200}
