@@ -176,14 +176,13 @@ def priors(v: Views) -> DataFrame:
     return tackle.unionByName(v.affiliations.where("alliance_id = 3").select("actor_id", F.lit("fc").alias("role"), F.lit(0.25).alias("prior")))
 
 
-#: Sums are rounded twice, as the order of their terms shows in the last digits.
 _CLASSES = ("structural", "temporal", "hull", "historical", "final")
 
 
-@query("m2_role_scores", FEATURES + _scores_sql() + f" select battle, side, sub_fleet, actor_id, role, {', '.join(f'round(round({c}::double, 9), 6) as {c}' for c in _CLASSES)} from scored")
+@query("m2_role_scores", FEATURES + _scores_sql() + f" select battle, side, sub_fleet, actor_id, role, {', '.join(f'round({c}::double, 9) as {c}' for c in _CLASSES)} from scored")
 def m2_role_scores(v: Views) -> DataFrame:
     out = R.scores(features(v), R.coefficients(v.spark), priors(v))
-    return out.withColumns({c: F.round(F.round(c, 9), 6) for c in _CLASSES})
+    return out.withColumns({c: F.round(c, 9) for c in _CLASSES})
 
 
 @query("m3_roles", FEATURES + _scores_sql() + """, thr(role, place, shared, least, gap) as (values ('fc', 1, false, 0.55, 0.15), ('logi', 2, true, 0.45, 0), ('mainline_dps', 3, true, 0.5, 0),
