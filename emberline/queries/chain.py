@@ -10,6 +10,7 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import cliques
 from ..operators import community as C
 from ..operators import roles as R
 from ..operators.graph import cut, pagerank
@@ -204,3 +205,13 @@ select battle, side, sub_fleet, actor_id, role, round(score::double, 4) as score
 def m3_roles(v: Views) -> DataFrame:
     rows = cut(features(v))
     return R.roles(rows, cut(R.scores(rows, R.coefficients(v.spark), priors(v))), leaders(v))
+
+
+@query("g21_circles")
+def circles(v: Views) -> DataFrame:
+    """A victim's circle among the actors of other blocs; the greedy growth has no SQL, tests hold it against the rule."""
+    day = v.events.join(v.victims, "victim_id").select("event_id", "victim_id", F.to_date("killed_at").alias("day"), F.col("bloc_id").alias("own"))
+    foes = v.actors.join(v.affiliations, "actor_id").join(day, "event_id").where("bloc_id <> own")
+    met = foes.select(F.col("victim_id").alias("target"), (-F.col("actor_id")).alias("opponent"), "day")
+    out = cliques.circles(met, cliques.CircleParams(least_days=1))
+    return out.withColumn("members", F.transform("members", lambda m: -m))

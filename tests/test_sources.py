@@ -22,6 +22,20 @@ def test_price_history_checks_its_header(spark, tmp_path):
         prices.price_history(spark, f"file://{tmp_path}/bad")
 
 
+def test_price_files_are_read_by_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("date,region_id,type_id,average,highest,lowest,volume,order_count\n2024-01-01,1,34,5.5,6,5,100,3\n")
+    (tmp_path / "b.csv").write_text("type_id,order_count,lowest,highest,date,average,region_id,volume\n35,4,7,9,2024-01-02,8,2,50\n")
+    rows = prices.price_history(spark, f"file://{tmp_path}").collect()
+    assert sorted(tuple(r)[1:] for r in rows) == [(1, 34, 5.5, 6.0, 5.0, 100, 3), (2, 35, 8.0, 9.0, 7.0, 50, 4)]
+    (tmp_path / "c.csv").write_text("date,region_id,type_id,average,lowest,highest,volume\n2024-01-01,1,77,5.5,6,5,100\n")
+    (tmp_path / "d.csv").write_text("2024-01-01,1,78,5.5,6,5,100,2\n")
+    with pytest.raises(ValueError, match="c.csv has no order_count|d.csv has no date"):
+        prices.price_history(spark, f"file://{tmp_path}")
+    bad = {r.file.split("/")[-1]: r.missing for r in prices.bad_files(spark, f"file://{tmp_path}").collect()}
+    assert bad == {"c.csv": ["order_count"], "d.csv": list(prices.COLUMNS)}
+    assert sorted(r.type_id for r in prices.price_history(spark, f"file://{tmp_path}", skip_bad_files=True).collect()) == [34, 35]
+
+
 def test_nested_events(spark):
     one = {"event_id": 1, "killed_at": "2024-01-01T00:00:00Z", "system_id": 9, "victim": {"character_id": 5, "items": [{"type_id": 3, "flag": 27}]}, "attackers": [{"character_id": 7, "final_blow": True}, {"ship_type_id": 2}]}
     two = {"event_id": 2, "attackers": [{"ship_type_id": 2}]}
