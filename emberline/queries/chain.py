@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cliques
 from ..operators import community as C
+from ..operators import families as M
 from ..operators import roles as R
 from ..operators.graph import cut, pagerank
 from ..schema import Views
@@ -215,3 +216,15 @@ def circles(v: Views) -> DataFrame:
     met = foes.select(F.col("victim_id").alias("target"), (-F.col("actor_id")).alias("opponent"), "day")
     out = cliques.circles(met, cliques.CircleParams(least_days=1))
     return out.withColumn("members", F.transform("members", lambda m: -m))
+
+
+@query("g22_families")
+def families(v: Views) -> DataFrame:
+    """An event's types of one hull are a fit, their groups its modules; merged by hull and role. The order-dependent rule has no SQL."""
+    types = v.types.select("type_id", F.col("type_group").alias("module"), (F.col("size") % 4).alias("hull"))
+    rows = v.actors.select("event_id", "actor_id", "type_id").join(types, "type_id").join(v.events.select("event_id", "killed_at", F.col("band").alias("role")), "event_id")
+    fits = rows.groupBy("event_id", "hull", "role").agg(F.sort_array(F.collect_set("module")).alias("modules"), F.min("killed_at").alias("at"))
+    fits = fits.withColumn("fingerprint", F.md5(F.array_join("modules", ",")))
+    known = fits.groupBy("hull", "role", "fingerprint").agg(F.first("modules").alias("modules"), F.count(F.lit(1)).alias("fits"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    out = M.merged_families(known)
+    return out.select("hull", "role", "fingerprint", "modules", "fits", "merged", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"))
