@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
+from xxhash import xxh3_64_intdigest
 
 U = np.uint64
 #: Odd multipliers; any would do, they only have to stay the same.
 _PLACES = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], U)
-#: words whose hashes are remembered
-_KEPT = 200_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -20,20 +17,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class _Words(dict):
-    """Word to hash: 64 bits of BLAKE2 of its bytes, so that no structure in a word makes it meet another's."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(self) >= _KEPT:
-            self.clear()
-        self[word] = value
-        return value
-
-
-_words = _Words()
-
-
 def shingles(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's word shingles; a text of fewer words has one, of all its words."""
     out: list[np.ndarray] = []
@@ -41,7 +24,8 @@ def shingles(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
         # lower() and split() of bytes know A-Z and the blanks \x20, \x09-\x0D alone
         found = text.lower().split()
         count = len(found)
-        words = np.fromiter(map(_words.__getitem__, found), U, count)
+        # a hash of the whole word's bytes, so that no structure in a word makes it meet another
+        words = np.fromiter(map(xxh3_64_intdigest, found), U, count)
         if count >= width:
             n = count - width + 1
             acc = words[:n] * _PLACES[0]
