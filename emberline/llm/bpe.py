@@ -6,9 +6,13 @@ pair of minimum rank, until no pair of the piece is in the table. Decoding joins
 the vocabulary and concatenates their bytes by an aggregation ordered by position. A document's ids and bytes are the
 concatenation of its pieces'.
 
-Pieces of more than `long_piece` bytes, on which one merge a round would be quadratic, take the same steps in a recursion
-that contracts a pair at all its places at once, wherever no pair that such a contraction makes can rank before it; the
-order of the steps then makes no difference. The worker remembers the pieces met last, up to twice `remembered`.
+Pieces of more than `long_piece` bytes, on which one merge a round would be quadratic, are encoded by windows of `window`
+bytes. Tokens are the encoding of their bytes if, and only if, every two neighbours are that of theirs: the first merge
+across a border would also be made in the two tokens alone. So only the seams of windows are tested, as pairs; around
+one that fails, some tokens on both sides are encoded anew, twice as many each round. Where such a stretch, as in text
+that repeats itself, has more than `long_piece` bytes, a second recursion contracts a pair at all its places at once,
+wherever no pair that such a contraction makes can rank before it; the order of the steps then makes no difference. The
+worker remembers the pieces met last, up to twice `remembered`.
 
 Defined cases: null text counts as empty; an empty text has no ids; repeated rows are encoded one by one; a text of any
 length is encoded whole; an empty table gives an empty result.
@@ -34,9 +38,11 @@ class BpeParams:
     pattern: str
     batch_chars: int = 2_000_000
     long_piece: int = 200
+    window: int = 64
     remembered: int = 40_000
-    #: pieces contracted by one query
+    #: pieces, and about so many bytes of them, contracted by one query
     query_pieces: int = 20_000
+    query_bytes: int = 250_000
 
 
 ENCODE = """
@@ -115,15 +121,15 @@ class Codec:
             "select l from merges where m < l union all select r from merges where m < r)"
         )
         self.db.execute("create table vocabulary as select * from vocabulary")
+        self.token_bytes = {n: t for t, n in self.ranks.items()}
         self.byte_ids = [self.ranks[bytes([i])] for i in range(256)]
         self.ids: dict[str, bytes] = {}
         self.former: dict[str, bytes] = {}
         self.decoded: dict[bytes, bytes] = {}
 
-    def _contract(self, query: str, pieces: list[str]) -> dict[str, bytes]:
+    def _contract(self, query: str, raw: list[bytes]) -> dict[bytes, bytes]:
         import numpy as np
 
-        raw = [p.encode() for p in pieces]
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         ends = np.cumsum(lengths)
         piece_tokens = pa.table(  # noqa: F841
@@ -135,7 +141,67 @@ class Codec:
         )
         ids = self.db.execute(query).to_arrow_table()["ids"].combine_chunks()
         values, offsets = ids.values.to_numpy().astype("<u4").tobytes(), (ids.offsets.to_numpy() * 4).tolist()
-        return {p: values[a:b] for p, a, b in zip(pieces, offsets, offsets[1:])}
+        return {p: values[a:b] for p, a, b in zip(raw, offsets, offsets[1:])}
+
+    def _encoded(self, raw: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of each byte string by the recursion for its length, some queries at a time."""
+        out: dict[bytes, bytes] = {}
+        most = self.params.long_piece
+        for query, some in ((ENCODE, [b for b in raw if len(b) <= most]), (ENCODE_LONG, [b for b in raw if len(b) > most])):
+            part: list[bytes] = []
+            held = 0
+            for b in some:
+                part.append(b)
+                held += len(b)
+                if len(part) >= self.params.query_pieces or held >= self.params.query_bytes:
+                    out |= self._contract(query, part)
+                    part, held = [], 0
+            if part:
+                out |= self._contract(query, part)
+        return out
+
+    def _stitched(self, raw: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of long byte strings: windows, whose seams are tested and mended until all hold."""
+        import numpy as np
+
+        w, of = self.params.window, self.token_bytes
+        cut = [[b[i : i + w] for i in range(0, len(b), w)] for b in raw]
+        ids = self._encoded({x for parts in cut for x in parts})
+        tokens = [np.frombuffer(b"".join(map(ids.__getitem__, parts)), "<u4") for parts in cut]
+        seams = [(np.cumsum([len(ids[x]) for x in parts])[:-1] // 4).tolist() for parts in cut]
+        sound: dict[tuple[int, int], bool] = {}
+        reach = 4
+        while any(seams):
+            beside = [[(int(t[s - 1]), int(t[s])) for s in at] for t, at in zip(tokens, seams)]
+            new = {x for xs in beside for x in xs} - sound.keys()
+            alone = self._encoded({of[a] + of[b] for a, b in new})
+            sound |= {(a, b): alone[of[a] + of[b]] == a.to_bytes(4, "little") + b.to_bytes(4, "little") for a, b in new}
+            stretches: list[list[list]] = []
+            for t, at, xs in zip(tokens, seams, beside):
+                found: list[list] = []
+                for s, x in zip(at, xs):
+                    if sound[x]:
+                        continue
+                    lo, hi = max(0, s - reach), min(len(t), s + reach)
+                    if found and lo <= found[-1][1]:
+                        found[-1][1] = hi
+                    else:
+                        found.append([lo, hi])
+                stretches.append([[lo, hi, b"".join(of[x] for x in t[lo:hi])] for lo, hi in found])
+            again = self._encoded({x[2] for found in stretches for x in found})
+            for n, found in enumerate(stretches):
+                t, parts, here, last, seams[n] = tokens[n], [], 0, 0, []
+                for lo, hi, text in found:
+                    mended = np.frombuffer(again[text], "<u4")
+                    here += lo - last
+                    ends = [here] * (lo > 0) + [here + len(mended)] * (hi < len(t))
+                    parts += [t[last:lo], mended]
+                    here += len(mended)
+                    last = hi
+                    seams[n] += ends
+                tokens[n] = np.concatenate([*parts, t[last:]])
+            reach *= 2
+        return {b: t.tobytes() for b, t in zip(raw, tokens)}
 
     def learn(self, pieces: set[str]) -> None:
         """Encodes the pieces not met lately, and decodes their ids."""
@@ -143,8 +209,8 @@ class Codec:
 
         known, former = self.ids, self.former
         fresh: dict[str, bytes] = {}
-        short: list[str] = []
-        long_ones: list[str] = []
+        short: list[bytes] = []
+        long_ones: list[bytes] = []
         for p in pieces:
             if p in known:
                 continue
@@ -155,11 +221,9 @@ class Codec:
             if (whole := self.ranks.get(b)) is not None:
                 fresh[p] = whole.to_bytes(4, "little")
             else:
-                (long_ones if len(b) > self.params.long_piece else short).append(p)
-        size = self.params.query_pieces
-        for query, some in ((ENCODE, short), (ENCODE_LONG, long_ones)):
-            for a in range(0, len(some), size):
-                fresh |= self._contract(query, some[a : a + size])
+                (long_ones if len(b) > self.params.long_piece else short).append(b)
+        for ids in (self._encoded({*short}), self._stitched(long_ones)):
+            fresh |= {b.decode(): x for b, x in ids.items()}
         known.update(fresh)
         runs = [r for r in {*fresh.values()} if r not in self.decoded]
         if runs:

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -49,5 +50,32 @@ def test_both_recursions_as_the_library(long_piece):
         assert np.frombuffer(codec.ids[p], "<u4").tolist() == encoding._encode_single_piece(p), p
 
 
+@pytest.mark.parametrize("window", [1, 3, 64])
+def test_windows_are_stitched(window):
+    """Seams that fail, next to one another and in text that repeats itself, and seams within a character."""
+    params = queries.bpe_params()
+    codec = bpe.Codec(bpe.BpeParams(params.ranks, params.pattern, long_piece=20, window=window))
+    encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    random.seed(window)
+    parts = [list("etaoinshrdlucmfw"), ["the", "in", "ation", "x"], list("ACGT"), list("éüß日本語naive"), list("ab"), ["a"], ["abcab"]]
+    pieces = {"".join(random.choices(p, k=random.randrange(1, 2000))) for p in parts for _ in range(6)}
+    codec.learn(pieces)
+    for p in pieces:
+        ids = codec.ids[p]
+        assert np.frombuffer(ids, "<u4").tolist() == encoding._encode_single_piece(p), p
+        assert codec.decoded[ids] == p.encode()
+
+
+def test_a_megabyte_without_a_blank():
+    codec = bpe.Codec(queries.bpe_params())
+    encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    random.seed(5)
+    piece = "".join(random.choices("etaoinshrdlucmfw", k=1_000_000))
+    start = time.monotonic()
+    codec.learn({piece})
+    assert time.monotonic() - start < 60
+    assert np.frombuffer(codec.ids[piece], "<u4").tolist() == encoding._encode_single_piece(piece)
+
+
 def test_empty_table(spark):
     assert bpe.encode_decode(spark.createDataFrame([], "doc_id long, text string"), queries.bpe_params()).count() == 0
