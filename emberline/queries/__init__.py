@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLE_SQL, QUERIES
 
-MODULES = ("broker", "core", "temporal", "market", "signals", "intel", "rollups", "battles", "assess", "chain", "entities")
+MODULES = ("broker", "core", "temporal", "market", "signals", "intel", "rollups", "battles", "assess", "chain", "entities", "archives", "anomaly")
 
 
 def load():
