@@ -39,7 +39,7 @@ class BpeParams:
     batch_chars: int = 2_000_000
     long_piece: int = 200
     window: int = 64
-    remembered: int = 40_000
+    remembered: int = 250_000
     #: pieces, and about so many bytes of them, contracted by one query
     query_pieces: int = 20_000
     query_bytes: int = 250_000
