@@ -92,18 +92,31 @@ def doctrine_changes(shares: DataFrame, present: float = 0.10, sudden: float = 0
 
 
 def joined_together(joins: DataFrame, days: int = 7, top: int = 20) -> DataFrame:
-    """(actor_id, other, gap): others who joined the same group within so many days, the nearest of each actor.
+    """(actor_id, other, gap): others who joined the same group within so many days, the nearest of each actor, the smaller
+    if as near.
 
-    joins: (actor_id, grp, day), day a whole number. Rows meet by group and span of days, each in its own span and the next
-    ones, so a large group is spread over time.
+    joins: (actor_id, grp, day), day a whole number. Of a group's day only the first top + 1 actors can be among anyone's
+    nearest, and those near a day are the same for all of its actors, so they are found once a day.
     """
-    span = lambda c: F.floor(F.col(c) / days)
-    one = joins.select("actor_id", "grp", "day", F.explode(F.array(span("day") - 1, span("day"), span("day") + 1)).alias("span"))
-    two = joins.select(F.col("actor_id").alias("other"), "grp", F.col("day").alias("on"), span("day").alias("span"))
-    met = one.join(two, ["grp", "span"]).where((F.col("actor_id") != F.col("other")) & (F.abs(F.col("day") - F.col("on")) <= days))
-    near = met.groupBy("actor_id", "other").agg(F.min(F.abs(F.col("day") - F.col("on"))).alias("gap"))
-    rank = F.row_number().over(W.partitionBy("actor_id").orderBy("gap", "other"))
-    return near.withColumn("rn", rank).where(F.col("rn") <= top).select("actor_id", "other", "gap")
+    rank = F.row_number().over(W.partitionBy("grp", "day").orderBy("actor_id"))
+    first = joins.where("grp is not null and day is not null and actor_id is not null").select("grp", "day", "actor_id").distinct().withColumn("rn", rank).where(F.col("rn") <= top + 1)
+    lists = first.groupBy("grp", F.col("day").alias("on")).agg(F.collect_list("actor_id").alias("who"))
+    beside = lists.select("grp", "who", F.explode(F.sequence(F.lit(-days), F.lit(days))).alias("step"), "on")
+    beside = beside.groupBy("grp", (F.col("on") + F.col("step")).alias("day")).agg(F.collect_list(F.struct(F.abs("step").alias("gap"), "who")).alias("beside"))
+    wanted = joins.select("grp", "day").distinct()
+
+    def wider(near, gap):
+        who = F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter("beside", lambda x: x["gap"] == gap), lambda x: x["who"]))))
+        fresh = F.filter(who, lambda o: ~F.exists(near, lambda y: y["other"] == o))
+        return F.when(F.size(near) > top, near).otherwise(F.concat(near, F.transform(fresh, lambda o: F.struct(gap.cast("long").alias("gap"), o.alias("other")))))
+
+    none = F.array().cast(f"array<struct<gap:bigint,other:{joins.schema['actor_id'].dataType.simpleString()}>>")
+    near = beside.join(wanted, ["grp", "day"]).select("grp", "day", F.slice(F.aggregate(F.sequence(F.lit(0), F.lit(days)), none, wider), 1, top + 1).alias("near"))
+    met = joins.where("actor_id is not null").join(near, ["grp", "day"]).groupBy("actor_id").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("near"), _count().alias("n"))
+    others = F.filter("near", lambda x: x["other"] != F.col("actor_id"))
+    once = F.filter(others, lambda x, i: ~F.exists(F.slice(others, 1, i), lambda y: y["other"] == x["other"]))  # of several groups
+    found = met.select("actor_id", F.explode(F.slice(F.when(F.col("n") == 1, others).otherwise(once), 1, top)).alias("x"))
+    return found.select("actor_id", "x.other", "x.gap")
 
 
 def reporter_reliability(reports: DataFrame) -> DataFrame:
