@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -49,7 +50,8 @@ def circles(met: DataFrame, p: CircleParams = CircleParams()) -> DataFrame:
     """(target, members, size, shared_days, weight) from meetings (target, opponent, day); targets without one are left out.
 
     Days are counted before anything meets, and only a target's top opponents meet one another, day by day: at most
-    top * (top - 1) / 2 pairs a target and day, and as many rows a target in the end.
+    top * (top - 1) / 2 pairs a target and day, and as many in a target's row in the end. Targets are grown in batches, so
+    one costs no call of its own.
     """
     days = met.where("target <> opponent").select("target", "opponent", "day").distinct()
     counted = days.groupBy("target", "opponent").agg(F.count(F.lit(1)).alias("n"))
@@ -60,9 +62,15 @@ def circles(met: DataFrame, p: CircleParams = CircleParams()) -> DataFrame:
     pairs = a.join(b, ["target", "day"]).where("a < b").groupBy("target", "a", "b").agg(F.count(F.lit(1)).alias("n"))
     pairs = pairs.where(F.col("n") >= p.least_days)
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        found = grow({(int(a), int(b)): int(n) for a, b, n in zip(part["a"], part["b"], part["n"])}, p)
-        rows = [] if found is None else [(part["target"].iloc[0], found[0], len(found[0]), found[2], float(found[1]))]
-        return pd.DataFrame(rows, columns=["target", "members", "size", "shared_days", "weight"]).astype({"members": object})
+    found = pairs.groupBy("target").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"), F.collect_list("n").alias("n"))
 
-    return pairs.groupBy("target").applyInPandas(one, "target long, members array<long>, size int, shared_days int, weight double")
+    def grown(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for target, a, b, n in zip(part["target"], part["a"], part["b"], part["n"]):
+                one = grow(dict(zip(zip(a.tolist(), b.tolist()), n.tolist())), p)
+                if one is not None:
+                    rows.append((target, one[0], len(one[0]), one[2], float(one[1])))
+            yield pd.DataFrame(rows, columns=["target", "members", "size", "shared_days", "weight"]).astype({"members": object})
+
+    return found.mapInPandas(grown, "target long, members array<long>, size int, shared_days int, weight double")

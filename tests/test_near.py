@@ -1,6 +1,6 @@
 import random
 
-from emberline.operators import battles
+from emberline.operators import battles, cliques
 
 
 def test_nearest_joins_of_each_actor_without_all_pairs(spark):
@@ -18,3 +18,10 @@ def test_nearest_joins_of_each_actor_without_all_pairs(spark):
     assert sorted(map(tuple, out.collect())) == sorted(want)
     joins = [n for n in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in n]
     assert joins and all("abs" not in j and "<>" not in j for j in joins)
+
+
+def test_circles_grow_in_batches_of_targets(spark):
+    met = spark.createDataFrame([(t, o, d) for t in range(30) for o in (100, 101, 102) for d in (1, 2)], "target long, opponent long, day int")
+    out = cliques.circles(met)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [(t, [100, 101, 102], 3, 2, 6.0) for t in range(30)]
