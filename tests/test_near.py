@@ -1,6 +1,7 @@
 import random
 
 from emberline.operators import battles, cliques
+from emberline.queries import load
 
 
 def test_nearest_joins_of_each_actor_without_all_pairs(spark):
@@ -25,3 +26,8 @@ def test_circles_grow_in_batches_of_targets(spark):
     out = cliques.circles(met)
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, out.collect())) == [(t, [100, 101, 102], 3, 2, 6.0) for t in range(30)]
+
+
+def test_fit_similarity_joins_no_actors_of_a_type(spark):
+    plan = load()[0]["b20_fit_similarity"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [type_id" in plan and not any("Join " in n and "type_id" in n for n in plan.splitlines())
