@@ -1,9 +1,19 @@
 import random
 
-from emberline.operators import battles, cliques
+from emberline.operators import battles, cliques, proximity
 from emberline.queries import load
 
 
+def test_points_are_not_sent_to_the_driver_and_meet_once(spark):
+    points = spark.createDataFrame([(i, float(i % 4), float(i % 3), 0.0) for i in range(60)], "id long, x double, y double, z double")
+    out = proximity.within_distance(points, 1.5)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = out.collect()
+    assert len(rows) == len({(r.a, r.b) for r in rows}) and all(r.a < r.b for r in rows)
+    cells = [n for n in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode(array(" in n]
+    assert len(cells) == 1 and cells[0].count("__own") <= 14
+
+
 def test_nearest_joins_of_each_actor_without_all_pairs(spark):
     rng = random.Random(3)
     rows = sorted({(rng.randrange(40), rng.randrange(3), rng.randrange(12)) for _ in range(150)})
