@@ -1,7 +1,10 @@
 import random
 
+from pyspark.sql import functions as F
+
 from emberline.operators import battles, cliques, proximity
 from emberline.queries import load
+from emberline.streaming import state
 
 
 def test_points_are_not_sent_to_the_driver_and_meet_once(spark):
@@ -14,6 +17,16 @@ def test_points_are_not_sent_to_the_driver_and_meet_once(spark):
     assert len(cells) == 1 and cells[0].count("__own") <= 14
 
 
+def test_new_rows_of_a_repeated_key_are_counted_before_they_meet(spark):
+    old = spark.createDataFrame([(1, "a", False), (2, "a", False), (3, "a", True), (None, "a", False), (5, None, False), (6, "z", False)], "id long, slug string, locked boolean")
+    new = spark.createDataFrame([(10, "a"), (11, "a"), (12, "a"), (13, None), (14, "q"), (14, "q")], "id long, slug string")
+    known = old.select("slug", F.col("id").alias("i"), F.col("locked").alias("l"))
+    want = new.join(known, "slug", "left").where("not coalesce(l, false)").select(F.coalesce("i", "id"), "slug", F.lit(False))
+    out = state.reconcile(old, new, "slug")
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, [*map(tuple, want.collect()), (3, "a", True)]))
+    assert "repartition" in out._jdf.queryExecution().logical().toString().lower() and "sequence(1, __n" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_nearest_joins_of_each_actor_without_all_pairs(spark):
     rng = random.Random(3)
     rows = sorted({(rng.randrange(40), rng.randrange(3), rng.randrange(12)) for _ in range(150)})
