@@ -6,6 +6,8 @@ from itertools import combinations
 
 import pytest
 
+from emberline.operators import graph
+from emberline.operators.aggregates import co_occurrence
 from emberline.operators.graph import betweenness
 
 
@@ -67,3 +69,28 @@ def test_sampled_sources(spark):
 
 def test_no_edges(spark):
     assert scores(spark, []) == {} and scores(spark, [(1, 1)]) == {}
+
+
+def test_edges_are_worked_out_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    def edges():
+        return spark.createDataFrame([(i, i + 1) for i in range(6)], "a long, b long").mapInPandas(counted, "a long, b long")
+
+    for walk in (lambda: graph.hops(edges(), [0], 6), lambda: graph.shortest_path(edges(), 0, 6, 6)):
+        before = read.value
+        assert walk().collect()
+        assert read.value == before + 6
+
+
+def test_pairs_of_an_event_take_one_shuffle(spark):
+    rows = spark.createDataFrame([(1, 7), (1, 7), (1, 5), (1, 9), (2, 5), (2, None), (None, 5), (None, 7)], "event long, actor long")
+    pairs = co_occurrence(rows, "event", "actor")
+    assert sorted(map(tuple, pairs.collect())) == [(1, 5, 7), (1, 5, 9), (1, 7, 9)]
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
