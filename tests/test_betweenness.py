@@ -71,6 +71,15 @@ def test_no_edges(spark):
     assert scores(spark, []) == {} and scores(spark, [(1, 1)]) == {}
 
 
+def test_many_slabs_and_parts(spark, monkeypatch):
+    for name, size in (("_NEAR", 2), ("_NODES", 5), ("_ARCS", 4), ("_SUMS", 7)):
+        monkeypatch.setattr(graph, name, size)
+    rng = random.Random(3)
+    edges = [(rng.randrange(24), rng.randrange(24)) for _ in range(60)]
+    assert len(graph._Slabs(graph.both_ways(spark.createDataFrame(edges, "a long, b long"))).parts) > 2
+    assert scores(spark, edges) == pytest.approx(by_paths(edges))
+
+
 def test_edges_are_worked_out_once(spark):
     read = spark.sparkContext.accumulator(0)
 
@@ -82,7 +91,7 @@ def test_edges_are_worked_out_once(spark):
     def edges():
         return spark.createDataFrame([(i, i + 1) for i in range(6)], "a long, b long").mapInPandas(counted, "a long, b long")
 
-    for walk in (lambda: graph.hops(edges(), [0], 6), lambda: graph.shortest_path(edges(), 0, 6, 6)):
+    for walk in (lambda: graph.hops(edges(), [0], 6), lambda: graph.shortest_path(edges(), 0, 6, 6), lambda: graph.betweenness(edges())):
         before = read.value
         assert walk().collect()
         assert read.value == before + 6
