@@ -8,6 +8,8 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
+from emberline.queries import archives as queries
+from emberline.schema import Views
 from emberline.sources import archives, dimensions, nested
 
 
@@ -93,3 +95,34 @@ def test_kinds(spark):
     assert [(r.b, r.s, r.j) for r in got] == [(True, "12", '{"k":[1,2]}'), (False, "s" * 255, '"t"'), (True, None, None), (False, None, None)]
     with pytest.raises(ValueError, match="kind"):
         dimensions.Field("a", "a", "date")
+
+
+def test_a_day_is_one_archive_until_it_is_full(spark, monkeypatch):
+    """Before, an archive was a range of ids of a day, so that most archives of a large table held some events only."""
+    v = Views(spark, "/root/testdata/sf0.001")
+    events, days = v.events.count(), v.events.select(F.to_date("killed_at")).distinct().count()
+    monkeypatch.setattr(queries, "PART", 10_000)
+    rows = archives.members(queries.day_archives(v))
+    assert queries.day_archives(v).count() == days and rows.where("fault is null").count() == events
+    monkeypatch.setattr(queries, "PART", 2)
+    assert queries.day_archives(v).count() > days
+    assert archives.members(queries.day_archives(v)).select("event_hash").distinct().count() == events
+
+
+def test_blocks_are_unpacked_once_and_streams_follow_one_another():
+    random = __import__("random").Random(5)
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as tar:
+        for i in range(400):
+            info = tarfile.TarInfo(f"{i}/h{i}.json")
+            raw = json.dumps({"n": i, "pad": random.randbytes(400).hex()}).encode()
+            info.size = len(raw)
+            tar.addfile(info, io.BytesIO(raw))
+    whole = out.getvalue()
+    half = len(whole) // 2
+    for content in (bz2.compress(whole), bz2.compress(whole[:half]) + bz2.compress(whole[half:])):
+        got = list(archives._members(content))
+        assert [r[1] for r in got] == [f"h{i}" for i in range(400)] and {r[3] for r in got} == {None}
+    broken = list(archives._members(bz2.compress(whole[:half])))
+    assert broken[-1][3] == "archive" and len(broken) == sum(1 for r in broken if r[3] is None) + 1 > 100
+    assert list(archives._members(b"")) == [(None, None, None, "archive")]
