@@ -110,3 +110,13 @@ def chat_unescaped(text):
     import re
 
     return re.sub(r"\\(### [^\s:]*: |</turn>)", r"\1", text)
+
+
+def test_texts_of_chunks_are_not_sent(spark):
+    """A chunk's digest alone meets others; before, its text was shuffled beside it."""
+    docs = spark.createDataFrame([(i, "alpha\nbeta\ngamma") for i in range(3)], "doc_id long, text string")
+    found = line_dedup.occurrences(docs)
+    assert "text" not in found.columns
+    # every chunk recurs, and the first document, which keeps them, is the smallest
+    assert {r.keeper.doc_id for r in line_dedup.repeated_chunks(found).collect()} == {0}
+    assert line_dedup.repeated_chunks(found).count() == found.select("digest").distinct().count()
