@@ -103,3 +103,8 @@ def test_pairs_of_an_event_take_one_shuffle(spark):
     assert sorted(map(tuple, pairs.collect())) == [(1, 5, 7), (1, 5, 9), (1, 7, 9)]
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("Aggregate") == 1
+
+
+def test_pairs_of_an_event_of_two_columns(spark):
+    rows = spark.createDataFrame([(1, 1, 7), (1, 1, 5), (1, 2, 5), (1, 2, 9), (None, 2, 5), (None, 2, 9)], "battle long, event long, actor long")
+    assert sorted(map(tuple, co_occurrence(rows, ["battle", "event"], "actor").collect())) == [(1, 1, 5, 7), (1, 2, 5, 9)]
