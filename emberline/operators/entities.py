@@ -1,8 +1,9 @@
 """Names in messages: links first, then system codes, then the longest known names, no word used twice.
 
-Messages are cut into words; every run of up to three words that may be a name meets the table of names by a join on its
-lower case, so nothing is looked up per message and Catalyst chooses the join by the tables' sizes. What is left per
-message is the list of its matches, over which one pass marks used words.
+Messages are cut into words once. A word meets the table of names' first words by a join on its lower case; only where
+one begins a name, the runs of as many words as such names have are made and meet the names. So nothing is looked up per
+message and Catalyst chooses the joins by the tables' sizes. What is left per message is the list of its matches, over
+which one pass marks used words.
 """
 
 from __future__ import annotations
@@ -32,15 +33,17 @@ OUT = ["event_id", "token", "type", "id", "name", "method", "confidence", "token
 
 
 def words(message: Column) -> Column:
-    rest = F.regexp_replace(F.regexp_replace(message, LINK, " "), SCAN, " ")
-    return F.filter(F.split(rest, BREAKS), lambda w: w != "")
+    """Patterns are looked for only in texts that hold the characters they can't do without."""
+    rest = F.when(message.contains("<"), F.regexp_replace(message, LINK, " ")).otherwise(message)
+    rest = F.when(message.contains("://"), F.regexp_replace(rest, SCAN, " ")).otherwise(rest)
+    return F.array_remove(F.split(rest, BREAKS), "")
 
 
 def links(messages: DataFrame, names: DataFrame, systems: DataFrame) -> DataFrame:
     """What a message's links name; systems, characters, corporations and alliances by their known name if there is one."""
     group = lambda n: F.regexp_extract_all("message", F.lit(LINK), F.lit(n))
     at = F.posexplode(F.arrays_zip(group(1).alias("kind"), group(2).alias("id"), group(3).alias("label"))).alias("token_offset", "l")
-    rows = messages.select("event_id", at).select("event_id", "token_offset", F.col("l.kind").try_cast("long").alias("kind"), F.col("l.id").try_cast("long").alias("id"), "l.label")
+    rows = messages.where(F.col("message").contains("<")).select("event_id", at).select("event_id", "token_offset", F.col("l.kind").try_cast("long").alias("kind"), F.col("l.id").try_cast("long").alias("id"), "l.label")
     rows = rows.where("kind > 0 and id > 0")
     named = F.lit("unknown")
     for number, name in LINK_KINDS.items():
@@ -80,24 +83,24 @@ def resolve(messages: DataFrame, names: DataFrame, systems: DataFrame) -> DataFr
     those without words name nothing; messages with the same event_id are one another's rows.
     """
     cut = messages.where("message is not null").select("event_id", F.monotonically_increasing_id().alias("row"), words(F.col("message")).alias("words"))
-    def run(n: int) -> Column:
-        """All runs of n words; the words are bound once, or they could be cut anew for each run."""
-        item = lambda w, i: F.struct(i.alias("start"), F.lit(n).alias("size"), F.array_join(F.slice(w, i + 1, n), " ").alias("token"))
-        each = lambda w: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: i + n <= F.size(w)), lambda i: item(w, i))
-        return F.get(F.transform(F.array("words"), each), F.lit(0))
-
-    every = cut.select("event_id", "row", F.explode(F.concat(*[run(n) for n in range(LONGEST, 0, -1)])).alias("r")).select("event_id", "row", "r.*")
-    few = F.col("size") > 1
-    may = ~F.lower("token").isin(STOPWORDS) & (few | ((F.length("token") >= 3) & ~F.col("token").rlike("^[0-9]+$")))
+    ws = [f"w{n}" for n in range(LONGEST)]
+    ahead = F.arrays_zip(*[F.slice("words", n + 1, F.size("words")).alias(w) for n, w in enumerate(ws)])
+    each = cut.select("event_id", "row", F.posexplode(ahead).alias("start", "w")).select("event_id", "row", "start", "w.*")
+
     best = names.groupBy(F.lower("name").alias("key")).agg(F.min(F.struct("entity_id", "name", "category")).alias("e"))
-    by_name = every.where(may).join(best, F.lower("token") == F.col("key")).select(
-        "event_id", "row", "start", "size", "token", F.col("e.category").alias("type"), F.col("e.entity_id").alias("id"), F.col("e.name").alias("name"),
-        F.lit("exact_name").alias("method"), F.when(few, "high").otherwise("medium").alias("confidence"),
-    )
-    of = systems.groupBy("name").agg(F.min("id").alias("id"))
-    by_code = every.where((F.col("size") == 1) & F.col("token").rlike(SYSTEM)).join(of, F.col("token") == F.col("name"))
-    by_code = by_code.select("event_id", "row", "start", "size", "token", F.lit("system").alias("type"), "id", "name", F.lit("system_code").alias("method"), F.lit("high").alias("confidence"))
-    found = by_code.unionByName(by_name)
+    best = best.select("key", F.col("e.category").alias("type"), F.col("e.entity_id").alias("id"), F.col("e.name").alias("name"), F.lit("exact_name").alias("method"))
+    codes = systems.where(F.col("name").rlike(SYSTEM)).groupBy("name").agg(F.min("id").alias("id"))
+    codes = codes.select(F.lower("name").alias("key"), F.lit("system").alias("type"), "id", "name", F.lit("system_code").alias("method"))
+    known = best.unionByName(codes)
+    parts = F.split("key", " ")
+    heads = known.where(F.size(parts) <= LONGEST).groupBy(parts[0].alias("head")).agg(F.collect_set(F.size(parts)).alias("sizes"))
+
+    begun = each.join(heads, F.lower("w0") == F.col("head")).select("event_id", "row", "start", F.explode("sizes").alias("size"), F.array(*ws).alias("ws"))
+    every = begun.where(F.get("ws", F.col("size") - 1).isNotNull()).select("event_id", "row", "start", "size", F.array_join(F.slice("ws", 1, F.col("size")), " ").alias("token"))
+    few, coded = F.col("size") > 1, F.col("method") == "system_code"
+    may = ~F.lower("token").isin(STOPWORDS) & (few | ((F.length("token") >= 3) & ~F.col("token").rlike("^[0-9]+$")))
+    found = every.join(known, F.lower("token") == F.col("key")).where(F.when(coded, F.col("token") == F.col("name")).otherwise(may))
+    found = found.withColumn("confidence", F.when(coded | few, "high").otherwise("medium"))
     order = F.struct((F.col("method") != "system_code").alias("late"), (-F.col("size")).alias("shorter"), "start", "size", "token", "type", "id", "name", "method", "confidence")
     lists = found.groupBy("event_id", "row").agg(F.sort_array(F.collect_list(order)).alias("m"))
     kept = lists.withColumn("kept", _unused(F.col("m.start"), F.col("m.size")))

@@ -40,5 +40,6 @@ def entities(v: Views) -> DataFrame:
         for at, n, more, kind in parts
     ]
     names = passages.select(F.explode(F.array(*named)).alias("n")).where("n is not null").select("n.*")
-    systems = v.spark.createDataFrame([], "name string, id long")
+    # No codes, said so that Catalyst knows it: it takes tables of unknown size for huge.
+    systems = v.spark.range(0).where("false").select(F.lit("").alias("name"), "id")
     return N.resolve(v.table("documents").select(F.col("doc_id").alias("event_id"), F.col("text").alias("message")), names, systems)

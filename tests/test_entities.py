@@ -4,6 +4,7 @@ import random
 import re
 
 from emberline.operators import entities as N
+from emberline.queries import load
 
 NAMES = [("Sid Matthews", 1, "character"), ("Matthews", 2, "character"), ("Red Moon", 3, "corporation"), ("Red Moon Rising", 4, "alliance"), ("moon", 5, "alliance"), ("Gate", 6, "alliance"), ("12345", 7, "corporation"), ("ab", 8, "corporation"), ("MOON", 9, "corporation"), ("X-7 base", 10, "corporation")]
 SYSTEMS = [("X-7", 70), ("J123456", 71), ("1DQ1-A", 72)]
@@ -57,3 +58,21 @@ def test_links(spark):
 def test_no_messages(spark):
     df = spark.createDataFrame([], "event_id long, message string")
     assert N.resolve(df, spark.createDataFrame(NAMES, "name string, entity_id long, category string"), spark.createDataFrame(SYSTEMS, "name string, id long")).collect() == []
+
+
+def test_texts_are_cut_once_and_only_words_that_begin_a_name_make_runs(spark):
+    df = spark.createDataFrame([(i, "no word here begins any known one " * 20) for i in range(50)] + [(50, "red moon rising, red moon")], "event_id long, message string")
+    runs = N.resolve(df, spark.createDataFrame(NAMES, "name string, entity_id long, category string"), spark.createDataFrame(SYSTEMS, "name string, id long"))
+    assert sorted((r.event_id, r.id, r.token_offset) for r in runs.collect()) == [(50, 3, 3), (50, 4, 0)]
+    plan = load()[0]["d3_entities"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("documents.parquet") == 2  # the texts' words, and the links of those that may hold one
+    assert "ExistingRDD" not in plan and "BuildLeft" not in plan
+
+
+def test_longer_names_than_runs_and_heads_of_several_lengths(spark):
+    names = [("a b c d", 1, "character"), ("aaa", 2, "character"), ("AAA bbb", 3, "corporation"), ("aaa bbb ccc", 4, "alliance"), (None, 5, "alliance"), ("", 6, "alliance"), ("x-7", 7, "corporation")]
+    df = spark.createDataFrame([(0, "aaa bbb"), (1, "a b c d"), (2, "Aaa Bbb Ccc aaa"), (3, "x-7 X-7"), (4, "bbb aaa")], "event_id long, message string")
+    got = N.resolve(df, spark.createDataFrame(names, "name string, entity_id long, category string"), spark.createDataFrame(SYSTEMS, "name string, id long"))
+    assert sorted((r.event_id, r.token_offset, r.id, r.method) for r in got.collect()) == [
+        (0, 0, 3, "exact_name"), (2, 0, 4, "exact_name"), (2, 3, 2, "exact_name"), (3, 0, 7, "exact_name"), (3, 1, 70, "system_code"), (4, 1, 2, "exact_name"),
+    ]
