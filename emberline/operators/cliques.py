@@ -10,14 +10,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .aggregates import co_occurrence
+from .graph import cut, kept
+
 
 @dataclass(frozen=True)
 class CircleParams:
-    #: opponents of a target that count, those met on most days
-    top: int = 10
-    #: days that any two members share at least, and members at most
+    #: opponents of a target that count, those met on most days; None: all
+    top: int | None = 10
+    #: days that any two members share at least, and members at most (inf: all that fit)
     least_days: int = 2
-    most_members: int = 5
+    most_members: float = 5
+
+
+#: Pairs of a target that a task holds; a target with more is grown by joins.
+LOCAL_PAIRS = 20_000
 
 
 def grow(pairs: dict[tuple[int, int], int], p: CircleParams = CircleParams()) -> tuple[list[int], int, int] | None:
@@ -30,39 +37,44 @@ def grow(pairs: dict[tuple[int, int], int], p: CircleParams = CircleParams()) ->
         return None
     seed = min(pairs, key=lambda k: (-pairs[k], k))
     members, weight = list(seed), pairs[seed]
-    others = {x for pair in pairs for x in pair} - set(members)
     shared = lambda x, y: pairs.get((min(x, y), max(x, y)), 0)
-    while len(members) < p.most_members:
-        fit = {c: [shared(c, m) for m in members] for c in others}
-        fit = {c: sum(days) for c, days in fit.items() if min(days) >= p.least_days}
-        if not fit:
+    # days that others share with all members in sum, if enough with each
+    fit = dict.fromkeys({x for pair in pairs for x in pair} - set(members), 0)
+    joined = members
+    while True:
+        fit = {c: fit[c] + sum(days) for c in fit if min(days := [shared(c, m) for m in joined]) >= p.least_days}
+        if not fit or len(members) >= p.most_members:
             break
         best = min(fit, key=lambda c: (-fit[c], c))
-        members.append(best)
-        others.discard(best)
-        weight += fit[best]
+        weight += fit.pop(best)
+        joined = [best]
+        members = members + joined
     if len(members) < 3:
         return None
     return members, weight, min(shared(a, b) for i, a in enumerate(members) for b in members[:i])
 
 
+_CIRCLE = "target long, members array<long>, size int, shared_days int, weight double"
+
+
 def circles(met: DataFrame, p: CircleParams = CircleParams()) -> DataFrame:
     """(target, members, size, shared_days, weight) from meetings (target, opponent, day); targets without one are left out.
 
-    Days are counted before anything meets, and only a target's top opponents meet one another, day by day: at most
-    top * (top - 1) / 2 pairs a target and day, and as many in a target's row in the end. Targets are grown in batches, so
-    one costs no call of its own.
+    Days are counted before anything meets; opponents of a target meet one another day by day. Targets are grown in batches,
+    so one costs no call of its own; those with more than LOCAL_PAIRS pairs are grown by joins, all at once.
     """
     days = met.where("target <> opponent").select("target", "opponent", "day").distinct()
-    counted = days.groupBy("target", "opponent").agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(W.partitionBy("target").orderBy(F.desc("n"), "opponent"))
-    top = counted.withColumn("place", place).where(F.col("place") <= p.top).select("target", "opponent")
-    kept = days.join(top, ["target", "opponent"])
-    a, b = kept.withColumnRenamed("opponent", "a"), kept.withColumnRenamed("opponent", "b")
-    pairs = a.join(b, ["target", "day"]).where("a < b").groupBy("target", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    pairs = pairs.where(F.col("n") >= p.least_days)
+    if p.top is not None:
+        counted = days.groupBy("target", "opponent").agg(F.count(F.lit(1)).alias("n"))
+        place = F.row_number().over(W.partitionBy("target").orderBy(F.desc("n"), "opponent"))
+        days = days.join(counted.withColumn("place", place).where(F.col("place") <= p.top).select("target", "opponent"), ["target", "opponent"])
+    pairs = co_occurrence(days, ["target", "day"], "opponent").groupBy("target", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    pairs = kept(pairs.where(F.col("n") >= p.least_days))
+    large = cut(pairs.groupBy("target").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LOCAL_PAIRS).select("target"))
+    some = not large.isEmpty()
 
-    found = pairs.groupBy("target").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"), F.collect_list("n").alias("n"))
+    small = pairs.join(large, "target", "left_anti") if some else pairs
+    found = small.groupBy("target").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"), F.collect_list("n").alias("n"))
 
     def grown(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -73,4 +85,36 @@ def circles(met: DataFrame, p: CircleParams = CircleParams()) -> DataFrame:
                     rows.append((target, one[0], len(one[0]), one[2], float(one[1])))
             yield pd.DataFrame(rows, columns=["target", "members", "size", "shared_days", "weight"]).astype({"members": object})
 
-    return found.mapInPandas(grown, "target long, members array<long>, size int, shared_days int, weight double")
+    out = found.mapInPandas(grown, _CIRCLE)
+    return out.unionByName(_by_joins(pairs.join(large, "target", "left_semi"), p)) if some else out
+
+
+def _by_joins(pairs: DataFrame, p: CircleParams) -> DataFrame:
+    """grow() of all targets at once, a member a step: who may still join has a row (target, c, days, least), the sum and the
+    least of the days shared with the members so far; it stays while it shares days with each new member."""
+    near = cut(pairs.select("target", F.explode(F.array(F.struct("a", "b", "n"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "n"))).alias("e")).select("target", "e.*"))
+    seed = pairs.groupBy("target").agg(F.max(F.struct("n", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("s"))
+    now = cut(seed.select("target", F.array(-F.col("s.a"), -F.col("s.b")).alias("members"), F.col("s.n").alias("shared"), F.col("s.n").alias("weight")))
+    met = lambda of, who: near.join(of.select("target", who.alias("a")), ["target", "a"]).select("target", F.col("b").alias("c"), "n")
+    both = met(now, F.col("members")[0]).unionByName(met(now, F.col("members")[1]))
+    may = both.groupBy("target", "c").agg(F.sum("n").alias("days"), F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).where("k = 2").drop("k")
+    done, size = [], 2
+    while True:
+        may = cut(may)
+        best = may.groupBy("target").agg(F.max(F.struct("days", (-F.col("c")).alias("c"), "least")).alias("s"))
+        step = now.join(best, "target", "left")
+        done.append(step.where("s is null").drop("s"))
+        grown = step.where("s is not null").select(
+            "target", F.concat("members", F.array(-F.col("s.c"))).alias("members"), F.least("shared", "s.least").alias("shared"), (F.col("weight") + F.col("s.days")).alias("weight")
+        )
+        now, size = cut(grown), size + 1
+        if size >= p.most_members or now.isEmpty():
+            done.append(now)
+            break
+        new = met(now, F.element_at("members", -1)).withColumnRenamed("n", "more")
+        may = may.join(new, ["target", "c"]).select("target", "c", (F.col("days") + F.col("more")).alias("days"), F.least("least", "more").alias("least"))
+    out = done[0]
+    for rows in done[1:]:
+        out = out.unionByName(rows)
+    out = out.where(F.size("members") >= 3)
+    return out.select("target", "members", F.size("members").alias("size"), F.col("shared").cast("int").alias("shared_days"), F.col("weight").cast("double").alias("weight"))
